@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Make the package known to the session's Python workers, wherever they run; once per Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemill_shipped", False):
+        return spark
+    home = Path(__file__).resolve().parent
+    if home.is_dir():
+        archive = os.path.join(tempfile.mkdtemp(prefix="tidemill-"), "tidemill.zip")
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+            for path in sorted(home.rglob("*.py")):
+                out.write(path, path.relative_to(home.parent))
+        context.addPyFile(archive)
+    context._tidemill_shipped = True
+    return spark
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Run `df` now, keep its rows in the shared folder and continue from there: a lost executor costs no rerun."""
     shared_dir(df.sparkSession)
