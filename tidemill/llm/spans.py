@@ -77,29 +77,30 @@ def sliding(values: np.ndarray, width: int, combine: np.ufunc, fill: int) -> np.
     return combine(right[:n], left[width - 1 : width - 1 + n])
 
 
-def anchors(keys: np.ndarray, ends: np.ndarray, window: int, width: int) -> np.ndarray:
-    """Positions that are the least, among equals the last, of some `window` neighbouring windows of one text.
+def anchors(keys: np.ndarray, ends: np.ndarray, window: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per anchor its position, and the first and last neighbourhood whose least, among equals last, window it is.
 
-    `keys` has the hash of the window of `width` at every position, `ends` the end of the text that it is in.
+    `keys` has the hash of the window of `width` at every position, `ends` the end of the text that it is in. A
+    neighbourhood is `window` positions from its start on; it lies in one text, and each has exactly one anchor.
     """
     n = len(keys)
-    place = np.arange(n, dtype=np.uint64)
     low = np.uint64(STRETCH - 1)
-    ordered = (keys & ~low) | (low - (place & low))
+    ordered = (keys & ~low) | (low - (np.arange(n, dtype=np.uint64) & low))
     least = sliding(ordered, window, np.minimum, (1 << 64) - 1)
-    inside = np.arange(n) + window - 1 + width <= ends[:n]
-    least[~inside] = 0
-    # The greatest of the minima of all neighbourhoods that hold a position is its own key if it is one of them.
-    greatest = sliding(least[::-1], window, np.maximum, 0)[::-1]
-    return np.flatnonzero((greatest == ordered) & (greatest > 0))
+    least[np.arange(n) + window - 1 + width > ends[:n]] = 0
+    first = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
+    last = np.append(first[1:], n) - 1
+    some = least[first] > 0
+    first, last = first[some], last[some]
+    return (low - (least[first] & low)).astype(np.int64), first, last
 
 
 class Plan:
     """Sizes for a least length of a common run.
 
-    An anchor is `width` long and the least of `window` neighbours; width + window - 1 = length, so every run of that
-    length has an anchor that is chosen in each text. Four wider windows around an anchor, `step` apart, cover every
-    way in which a run of the length can lie around it; each is `wide` long.
+    A window of the full length has one anchor: of the shorter windows in it, each `width` long, the one with the
+    least hash. Wherever the window occurs, its anchor is the same. The ways in which a window can lie around its
+    anchor make four groups of `step`; the `wide` characters that all of a group share stand for it in a first look.
     """
 
     def __init__(self, length: int) -> None:
@@ -143,19 +144,14 @@ def _stretches(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tupl
         yield out()
 
 
-def _lanes(hasher: Hasher, place: np.ndarray, begin: np.ndarray, end: np.ndarray, plan: Plan) -> np.ndarray:
-    """16 bits of the hash of each of the four wider windows, 0 where one doesn't lie in the text."""
-    lanes = np.zeros(len(place), np.uint64)
-    for k in range(4):
-        start = place - k * plan.step
-        fits = (start >= begin) & (start + plan.wide <= end)
-        part = np.zeros(len(place), np.uint64)
-        part[fits] = (hasher.at(start[fits], plan.wide) >> np.uint64(40)) % np.uint64(65535) + np.uint64(1)
-        lanes |= part << np.uint64(16 * k)
-    return lanes
+#: Bits of an anchor row's key that hold four numbers of six bits; the bits above them are the anchor's.
+LANES = 24
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """Per anchor: `key` (40 bits of its hash; for each group of its windows that occurs 6 bits of the hash of what
+    they share, else 0), `id`, `at` (where its first window starts), `more` (how many windows follow) and `whole`
+    (the hash of all characters of its windows, and of where the anchor lies in them)."""
     hasher = Hasher()
     for points, starts, ids, offsets in _stretches(batches, plan.length - 1):
         if len(points) < plan.length:
@@ -164,14 +160,24 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.R
         owner = np.repeat(np.arange(len(starts)), sizes)
         hasher.load(points)
         keys = hasher.every(plan.width)
-        place = anchors(keys, (starts + sizes)[owner], plan.window, plan.width)
+        place, first, last = anchors(keys, (starts + sizes)[owner], plan.window, plan.width)
+        if not len(place):
+            continue
         own = owner[place]
-        lanes = _lanes(hasher, place, starts[own], (starts + sizes)[own], plan)
-        some = lanes != 0
-        place, own, lanes = place[some], own[some], lanes[some]
+        key = (keys[place] >> np.uint64(LANES)) << np.uint64(LANES)
+        for k in range(4):
+            there = (place - last < (k + 1) * plan.step) & (place - first >= k * plan.step)
+            core = hasher.at(place[there] - k * plan.step, plan.wide)
+            key[there] |= ((core >> np.uint64(40)) % np.uint64(63) + np.uint64(1)) << np.uint64(6 * k)
+        whole = np.empty(len(place), np.uint64)
+        for span in np.unique(last - first).tolist():
+            same = np.flatnonzero(last - first == span)
+            whole[same] = hasher.at(first[same], plan.length + span)
+        whole = _mix(whole ^ _mix(((place - first) * 1_000 + (last - first)).astype(np.uint64)))
+        at = first - starts[own] + offsets[own]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys[place].view(np.int64)), pa.array(ids[own]), pa.array((place - starts[own] + offsets[own]).astype(np.int32)), pa.array(lanes.view(np.int64))],
-            names=["anchor", "id", "at", "lanes"],
+            [pa.array(key.view(np.int64)), pa.array(ids[own]), pa.array(at.astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(whole.view(np.int64))],
+            names=["key", "id", "at", "more", "whole"],
         )
 
 
@@ -183,48 +189,80 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return x
 
 
+_SETTLED = "key bigint, id bigint, at int, more int, class bigint, settled boolean"
+
+
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition sorted by anchor: occurrences that agree with another text's in one of the wider windows."""
-    for table, whole in bounded_groups(batches, "anchor", 4 * CLOSE, 1_000_000):
-        if not whole:
-            yield from _columns(table, ["anchor", "id", "at"])
+    """Of a partition sorted by key: occurrences whose windows may occur in another text.
+
+    An occurrence is `settled` if all that may share a window with it have the very same windows; `class` then names
+    their texts. The rest is to be compared character by character.
+    """
+    for table, complete in bounded_groups(batches, "key", LANES, 4 * CLOSE, 1_000_000):
+        key, ids = int64(table.column("key")).view(np.uint64), int64(table.column("id"))
+        anchor = key >> np.uint64(LANES)
+        if not complete:
+            yield _occurrences(table, np.arange(table.num_rows), np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows, bool))
             continue
-        anchor, ids, lanes = int64(table.column("anchor")), int64(table.column("id")), int64(table.column("lanes")).view(np.uint64)
-        keep = np.zeros(len(anchor), bool)
         # Most anchors occur once; only the rest is looked at.
         new = np.append(True, anchor[1:] != anchor[:-1])
         several = np.flatnonzero(~(new & np.append(new[1:], True)))
-        anchor, ids, lanes = anchor[several], ids[several], lanes[several]
+        if not len(several):
+            continue
+        key, ids, anchor = key[several], ids[several], anchor[several]
+        whole = int64(table.column("whole"))[several].view(np.uint64)
+        keep, mixed = np.zeros(len(key), bool), np.zeros(len(key), bool)
         for k in range(4):
-            lane = (lanes >> np.uint64(16 * k)) & np.uint64(0xFFFF)
-            group = _mix(anchor.view(np.uint64) ^ (lane << np.uint64(17)))
-            order = np.lexsort((ids, group))
+            lane = (key >> np.uint64(6 * k)) & np.uint64(63)
+            order = np.lexsort((ids, lane, anchor))
             order = order[lane[order] > 0]
             if not len(order):
                 continue
-            g, d = group[order], ids[order]
-            begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            finish = np.append(begin[1:], len(g))
-            multi = d[begin] != d[finish - 1]
-            keep[several[order[np.repeat(multi, finish - begin)]]] = True
+            begin = _begins(anchor[order], lane[order])
+            size = np.diff(np.append(begin, len(order)))
+            multi = ids[order][begin] != ids[order][begin + size - 1]
+            w = whole[order]
+            differ = np.logical_or.reduceat(w != np.repeat(w[begin], size), begin)
+            keep[order] |= np.repeat(multi, size)
+            mixed[order] |= np.repeat(multi & differ, size)
+        pure = np.flatnonzero(keep & ~mixed)
+        names = np.zeros(len(key), np.uint64)
+        if len(pure):
+            order = pure[np.lexsort((ids[pure], whole[pure], anchor[pure]))]
+            begin = _begins(anchor[order], whole[order])
+            size = np.diff(np.append(begin, len(order)))
+            fresh = np.append(True, ids[order][1:] != ids[order][:-1])
+            fresh[begin] = True
+            names[order] = np.repeat(np.add.reduceat(np.where(fresh, _mix(ids[order].view(np.uint64)), np.uint64(0)), begin), size)
         hit = np.flatnonzero(keep)
         if len(hit):
-            yield from _columns(table.take(pa.array(hit)), ["anchor", "id", "at"])
+            yield _occurrences(table, several[hit], names[hit].view(np.int64), ~mixed[hit])
+
+
+def _begins(*columns: np.ndarray) -> np.ndarray:
+    change = np.zeros(len(columns[0]), bool)
+    change[:1] = True
+    for c in columns:
+        change[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(change)
 
 
-def _columns(table: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
-    yield from table.select(names).combine_chunks().to_batches()
+def _occurrences(table: pa.Table, rows: np.ndarray, names: np.ndarray, settled: np.ndarray) -> pa.RecordBatch:
+    taken = table.select(["key", "id", "at", "more"]).take(pa.array(rows)).combine_chunks()
+    columns = [c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) for c in taken.columns]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(names), pa.array(settled)], names=["key", "id", "at", "more", "class", "settled"])
 
 
-def bounded_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int, most: int) -> Iterator[tuple[pa.Table, bool]]:
-    """Like complete_groups for one key, but a group beyond `most` rows comes in parts of that size, marked False."""
+def bounded_groups(batches: Iterator[pa.RecordBatch], key: str, shift: int, rows: int, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """Like complete_groups for one key without its lowest `shift` bits, but a group beyond `most` rows comes in parts,
+    marked False."""
     part: list[pa.Table] = []
     count = 0
     oversized = None
 
     def split(table: pa.Table, last: bool) -> tuple[list[tuple[pa.Table, bool]], list[pa.Table]]:
         nonlocal oversized
-        values = int64(table.column(key))
+        values = int64(table.column(key)) >> shift
         out = []
         if oversized is not None:
             stop = int(np.searchsorted(values != oversized, True)) if (values != oversized).any() else len(values)
@@ -265,9 +303,9 @@ _CASES = "span boolean, id bigint, class bigint, start int, stop int, sure boole
 def _compare(table: pa.Table, plan: Plan, whole: bool) -> Iterator[pa.RecordBatch]:
     """Occurrences of anchors with their surroundings: spans shared with another text, and classes of texts.
 
-    Of every occurrence all windows of the full length that hold the anchor are compared. Classes of the same texts
-    are one, named by their texts. Of a part of a group (`whole` false) every window is passed on as a class of its
-    own, to be compared elsewhere.
+    All windows of the full length that an anchor stands for are compared. Classes of the same texts are one, named
+    by their texts. Of a part of a group (`whole` false) every window is passed on as a class of its own, to be
+    compared elsewhere.
     """
     texts = table.column("around").to_pylist()
     points = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
@@ -284,6 +322,7 @@ def _compare(table: pa.Table, plan: Plan, whole: bool) -> Iterator[pa.RecordBatc
     if not whole:
         yield _cases(False, ids[owner], window.view(np.int64), (first[owner] + shift), (first[owner] + shift + plan.length), False)
         return
+    # The windows of an occurrence are all those whose anchor it is, so equal windows are in the same group.
     order = np.lexsort((ids[owner], window))
     w, d = window[order], ids[owner][order]
     new = np.append(True, w[1:] != w[:-1])
@@ -360,11 +399,12 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 200) -> Share
     The key is a whole number and unique; rows with a null key are ignored. Texts that are equal as a whole are
     compared once. An empty table gives empty results.
 
-    Method: the hash of every window of length / 2 + 1 characters is taken, and the least among length / 2
-    neighbours is an anchor, so that a common run has an anchor chosen in each of its texts. Anchors are shuffled by
-    hash (about one row for 50 characters); those that agree with another text's in a wider window are fetched with
-    their surroundings, all windows of the full length there are compared, and shared ones joined to maximal spans.
-    Nothing is broadcast but lists of at most a million ids; texts in classes of any size are found without pairs.
+    Method: every window of `length` has an anchor, the shorter window (length / 2 + 1) in it with the least hash;
+    the hashes of all windows of a text are taken, and about one in 50 is an anchor. Anchors are shuffled by hash,
+    with a hash of all characters of the windows they stand for. Where all texts that may share a window agree in
+    all of them, that settles it; the others are fetched with their characters and compared window by window.
+    Shared windows are joined to maximal spans. Nothing is broadcast but lists of at most a million ids; texts in
+    classes of any size are found without pairs.
     """
     plan = Plan(length)
     rows = df.select(F.col(quoted(key)).cast("bigint").alias("id"), F.col(quoted(text)).alias("text")).where("id IS NOT NULL")
@@ -375,43 +415,44 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 200) -> Share
     long = rows.where(F.char_length("text") >= length)
     long = long.join(_small(again), "id", "left_anti")
 
-    found = long.mapInArrow(lambda b: _anchor_rows(b, plan), "anchor bigint, id bigint, at int, lanes bigint")
-    shared = durable(found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared_anchors, "anchor bigint, id bigint, at int"))
-    places = shared.groupBy("id").agg(F.collect_list(F.struct("at", "anchor")).alias("places"))
-    wanted = long.join(_small(shared.select("id").distinct()), "id", "left_semi").join(places, "id")
-    shape = "anchor bigint, id bigint, `from` int, around string"
+    found = long.mapInArrow(lambda b: _anchor_rows(b, plan), "key bigint, id bigint, at int, more int, whole bigint")
+    placed = found.repartition(F.shiftright("key", LANES)).sortWithinPartitions("key")
+    shared = durable(placed.mapInArrow(_shared_anchors, _SETTLED))
+    mixed = shared.where("NOT settled")
+    places = mixed.groupBy("id").agg(F.collect_list(F.struct("key", "at", "more")).alias("places"))
+    wanted = long.join(_small(mixed.select("id").distinct()), "id", "left_semi").join(places, "id")
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = plan.window - 1
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 some = batch.slice(k, 64)
                 out: tuple[list, list, list, list] = ([], [], [], [])
                 for i, body, at in zip(some.column("id").to_pylist(), some.column("text").to_pylist(), some.column("places").to_pylist()):
                     for place in at:
-                        begin = max(place["at"] - reach, 0)
-                        out[0].append(place["anchor"])
+                        begin = place["at"]
+                        out[0].append(place["key"])
                         out[1].append(i)
                         out[2].append(begin)
-                        out[3].append(body[begin : place["at"] + plan.width + reach])
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["anchor", "id", "from", "around"])
+                        out[3].append(body[begin : begin + place["more"] + plan.length])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["key", "id", "from", "around"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, whole in bounded_groups(batches, "anchor", 4_000, CLOSE):
-            # Parts of oversized groups, and very many equal anchors, are gone through in steps of bounded memory.
-            if whole:
+        for table, complete in bounded_groups(batches, "key", LANES, 4_000, CLOSE):
+            # Parts of oversized groups are gone through in steps of bounded memory.
+            if complete:
                 yield from _compare(table, plan, True)
             else:
                 for a in range(0, table.num_rows, 4_000):
                     yield from _compare(table.slice(a, 4_000), plan, False)
 
-    around = wanted.select("id", "text", "places").mapInArrow(surroundings, shape)
-    cases = durable(around.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, _CASES))
+    around = wanted.select("id", "text", "places").mapInArrow(surroundings, "key bigint, id bigint, `from` int, around string")
+    cases = durable(around.repartition(F.shiftright("key", LANES)).sortWithinPartitions("key").mapInArrow(compare, _CASES))
     unsure = cases.where("NOT sure")
     multi = unsure.groupBy("class").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select(F.col("class").alias("__class"))
-    settled = unsure.join(multi, F.col("class") == F.col("__class"), "left_semi")
-    spans = cases.where("span").select("id", "start", "stop").unionByName(settled.select("id", "start", "stop"))
-    classes = cases.where("sure AND NOT span").select("class", "id").unionByName(settled.select("class", "id")).distinct()
+    checked = unsure.join(multi, F.col("class") == F.col("__class"), "left_semi")
+    settled = shared.where("settled").select("id", F.col("at").alias("start"), (F.col("at") + F.col("more") + F.lit(length)).alias("stop"), "class")
+    spans = cases.where("span").select("id", "start", "stop").unionByName(checked.select("id", "start", "stop")).unionByName(settled.select("id", "start", "stop"))
+    classes = cases.where("sure AND NOT span").select("class", "id").unionByName(checked.select("class", "id")).unionByName(settled.select("class", "id")).distinct()
     # What holds for the first of equal texts holds for all of them.
     firsts = copies.where("id <> first").select(F.col("id").alias("__copy"), F.col("first").alias("__first"))
     copied = classes.join(firsts, F.col("id") == F.col("__first")).select("class", F.col("__copy").alias("id"))
