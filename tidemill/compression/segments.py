@@ -187,7 +187,7 @@ class _Fitter:
             size *= 4
         while reach > 0:
             d, v = (self.t[i + 1 : i + 1 + reach] - self.t[i]).astype(np.float64), self.v[i + 1 : i + 1 + reach].astype(np.float64)
-            best = float(np.dot(v - v0, d) / np.dot(d, d))
+            best = float(((v - v0) * d).sum() / (d * d).sum())
             slope = max(float(down[reach - 1]), min(best, float(up[reach - 1])))
             last = float(np.float32(v0 + slope * d[-1]))
             found = line(self.t[i : i + reach + 1], int(self.t[i]), int(self.t[i + reach]), v0, last)
