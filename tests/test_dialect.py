@@ -1,0 +1,117 @@
+from __future__ import annotations
+
+import pytest
+
+from tidemill import dialect
+from tidemill.dialect import MOST_RETAIN, parse
+from tidemill.errors import InvalidArgument
+from tidemill.types import Kind
+
+KEYWORDS = frozenset({"TABLE", "SELECT", "TIMESTAMP", "GROUP"})
+
+
+def test_time_series_table():
+    table = parse("CREATE TIME SERIES TABLE T1(ts TIMESTAMP, A FIELD, b FIELD(0.5), c FIELD(5%), z FIELD(0.0), d FIELD AS (COS(a * PI() / 180) + (b)), tag TAG);", KEYWORDS).table
+    assert table.name == "t1" and table.timestamp == "ts" and table.tags == ["tag"]
+    assert [(c.name, c.kind, str(c.bound)) for c in table.columns][1:5] == [("a", Kind.FIELD, "0"), ("b", Kind.FIELD, "0.5"), ("c", Kind.FIELD, "5%"), ("z", Kind.FIELD, "0")]
+    assert table.columns[5].expression == "COS(a * PI() / 180) + (b)"
+    assert [c.name for c in table.stored] == ["ts", "a", "b", "c", "z", "tag"] and table.index("tag") == 5
+
+
+def test_normal_table():
+    made = parse("create table t (a INT NOT NULL, b double precision, c TEXT, d DECIMAL(10, 2), e TIMESTAMP(3), f BIGINT[], g STRUCT<x INT, y TEXT>, h BYTEA)")
+    assert made.columns == (("a", "INT", True), ("b", "DOUBLE", False), ("c", "STRING", False), ("d", "DECIMAL(10, 2)", False), ("e", "TIMESTAMP_NTZ", False), ("f", "ARRAY<BIGINT>", False), ("g", "STRUCT<x: INT, y: STRING>", False), ("h", "BINARY", False))
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "",
+        "  ;",
+        "-- nothing",
+        "SELECT 1; SELECT 2",
+        "CREATETIME SERIES TABLE t(ts TIMESTAMP, a FIELD)",
+        "CREATE TIMESERIES TABLE t(ts TIMESTAMP, a FIELD)",
+        "CREATE TIME SERIES TABLE (ts TIMESTAMP, a FIELD)",
+        "CREATE TIME SERIES TABLE t ts TIMESTAMP, a FIELD)",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP, a FIELD",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP a FIELD)",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP, a)",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP, FIELD)",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP, a FIELD(-1))",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP, a FIELD(101%))",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP, a FIELD(1) AS (b))",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP, a FIELD AS (b)(1))",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP AS (a), a FIELD)",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP, a FIELD, b TAG AS (a))",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP, a FIELD AS ())",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP, a REAL)",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP, a FIELD AS (1))",
+        "CREATE TIME SERIES TABLE t(a FIELD)",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP, us TIMESTAMP, a FIELD)",
+        "CREATE TIME SERIES TABLE t(ts TIMESTAMP, a FIELD, A FIELD)",
+        "CREATE TIME SERIES TABLE select(ts TIMESTAMP, a FIELD)",
+        'CREATE TIME SERIES TABLE "a b"(ts TIMESTAMP, a FIELD)',
+        "CREATE TIME SERIES TABLE a.b(ts TIMESTAMP, a FIELD)",
+        "CREATE OR REPLACE TABLE t(a INT)",
+        "CREATE TEMPORARY TABLE t(a INT)",
+        "CREATE TABLE IF NOT EXISTS t(a INT)",
+        "CREATE TABLE t AS SELECT 1",
+        "CREATE TABLE t(a INT) PARTITIONED BY (a)",
+        "CREATE TABLE t(a INT PRIMARY KEY)",
+        "CREATE TABLE t(a INT UNSIGNED)",
+        "CREATE TABLE t(a UBIGINT)",
+        "CREATE TABLE t(a NOTATYPE)",
+        "CREATE VIEW v AS SELECT 1",
+        "DROP TABLE IF EXISTS t",
+        "DROP TABLE t CASCADE",
+        "DROP VIEW t",
+        "DROP TABLE",
+        "TRUNCATE",
+        "TRUNCATE ,a",
+        "TRUNCATE a,",
+        "TRUNCATE a b",
+        'TRUNCATE "a"',
+        "TRUNCATE a CLUSTER",
+        "VACUUM ,a",
+        "VACUUM a,",
+        'VACUUM "a"',
+        "VACUUM a RETAIN",
+        "VACUUM a RETAIN 1.5",
+        "VACUUM a RETAIN ten",
+        "VACUUM a RETAIN -1",
+        f"VACUUM a RETAIN {MOST_RETAIN + 1}",
+        "VACUUM a RETAIN 1 RETAIN 2",
+        "VACUUM a CLUSTER",
+        "INCLUDE SELECT 1",
+        'INCLUDE "a" SELECT 1',
+        "INCLUDE 'a' 'b' SELECT 1",
+        "INCLUDE 'a' DROP TABLE t",
+        "EXPLAIN DROP TABLE t",
+        "UPDATE t SET a = 1",
+        "DELETE FROM t",
+    ],
+)
+def test_rejected(sql):
+    with pytest.raises(InvalidArgument, match="^Invalid Argument Error: "):
+        parse(sql, KEYWORDS)
+
+
+def test_other_statements_are_named():
+    with pytest.raises(InvalidArgument, match="Only CREATE, DROP, TRUNCATE, EXPLAIN, INCLUDE, SELECT, INSERT, and VACUUM are supported."):
+        parse("GRANT ALL ON t TO me")
+
+
+def test_maintenance_and_queries():
+    assert parse("truncate A, b") == dialect.Truncate(("a", "b"))
+    assert parse("TRUNCATE TABLE a") == dialect.Truncate(("a",))
+    assert parse("TRUNCATE CLUSTER a;") == dialect.Truncate(("a",), True)
+    assert parse("DROP TABLE a, b") == dialect.Drop(("a", "b"))
+    assert parse("VACUUM") == dialect.Vacuum()
+    assert parse("VACUUM RETAIN 0") == dialect.Vacuum((), 0)
+    assert parse("VACUUM CLUSTER a, b RETAIN 30") == dialect.Vacuum(("a", "b"), 30, True)
+    assert parse("INCLUDE 'x''y', 'z' SELECT * FROM t;") == dialect.Include(("x'y", "z"), "SELECT * FROM t")
+    assert parse("EXPLAIN ANALYZE SELECT ';' AS x") == dialect.Explain(True, "SELECT ';' AS x")
+    assert parse("WITH a AS (SELECT 1) SELECT * FROM a") == dialect.Query("WITH a AS (SELECT 1) SELECT * FROM a")
+    assert parse("INSERT INTO t (A, b) VALUES (1, 2)") == dialect.Insert("t", ("a", "b"), "VALUES (1, 2)")
+    assert parse("INSERT INTO t SELECT 1") == dialect.Insert("t", (), "SELECT 1")

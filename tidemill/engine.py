@@ -133,7 +133,7 @@ class DataFolder:
         return self._append_segments(table, segments, batches)
 
     def _append_segments(self, table: TimeSeriesTable, segments: DataFrame, batches: Iterable[str] = (), replace: Sequence[str] | None = None) -> bool:
-        order = ["field_column", *(quoted(t) for t in table.tags), "start_time"]
+        order = ["field_column", *(quoted(t) for t in table.tags), "start_us"]
 
         def write(url: str) -> None:
             segments.sortWithinPartitions(*order).write.option("compression", "zstd").partitionBy("field_column").parquet(url)
@@ -332,16 +332,16 @@ class DataFolder:
         _same_columns(table, other)
         segments = self._tagged(table, tags)
         if start is not None:
-            segments = segments.where(F.col("start_time") >= scan.micros_literal(start))
+            segments = segments.where(F.col("start_us") >= scan.micros(start))
         if end is not None:
-            segments = segments.where(F.col("end_time") <= scan.micros_literal(end))
+            segments = segments.where(F.col("end_us") <= scan.micros(end))
         # All of a chunk's fields must go together; a chunk goes if all its segments of every field lie in the range.
         if start is not None or end is not None:
-            whole = self._tagged(table, tags).groupBy("chunk").agg(F.min("start_time").alias("__a"), F.max("end_time").alias("__b"))
+            whole = self._tagged(table, tags).groupBy("chunk").agg(F.min("start_us").alias("__a"), F.max("end_us").alias("__b"))
             if start is not None:
-                whole = whole.where(F.col("__a") >= scan.micros_literal(start))
+                whole = whole.where(F.col("__a") >= scan.micros(start))
             if end is not None:
-                whole = whole.where(F.col("__b") <= scan.micros_literal(end))
+                whole = whole.where(F.col("__b") <= scan.micros(end))
             segments = _cut_chunks(segments, whole, table)
         target._append_segments(other, segments.toDF(*other.segment_schema.fieldNames()))
 

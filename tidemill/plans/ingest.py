@@ -90,9 +90,7 @@ def _batch(rows: list[tuple], fields: list[pa.Field]) -> pa.RecordBatch:
     arrays = []
     for values, f in zip(zip(*rows), fields):
         kind = f.type
-        if pa.types.is_timestamp(kind):
-            arrays.append(pa.array(values, pa.int64()).view(pa.timestamp("us")).cast(kind))
-        elif pa.types.is_floating(kind):
+        if pa.types.is_floating(kind):
             arrays.append(pa.array(np.array(values, np.float64)).cast(kind, safe=False))
         else:
             arrays.append(pa.array(values, kind))

@@ -16,7 +16,7 @@ from tidemill.errors import InvalidArgument
 from tidemill.runtime import quoted
 from tidemill.types import TimeSeriesTable
 
-_PARTS = ["model_type", "start_time", "n_points", "model_points", "interval_us", "times", "first_value", "last_value", "residuals"]
+_PARTS = ["model_type", "start_us", "n_points", "model_points", "interval_us", "times", "first_value", "last_value", "residuals"]
 Range = tuple[datetime | int | None, datetime | int | None]
 
 
@@ -27,19 +27,27 @@ def micros_literal(value: datetime | int) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def micros(value: datetime | int) -> int:
+    """Microseconds since 1970-01-01."""
+    if isinstance(value, int):
+        return value
+    since = value - datetime(1970, 1, 1)
+    return (since.days * 86_400 + since.seconds) * 1_000_000 + since.microseconds
+
+
 def in_time(segments: DataFrame, start: datetime | int | None, end: datetime | int | None) -> DataFrame:
     """Segments that may hold points from start to end, both included; reaches Parquet's row groups."""
     if start is not None:
-        segments = segments.where(F.col("end_time") >= micros_literal(start))
+        segments = segments.where(F.col("end_us") >= micros(start))
     if end is not None:
-        segments = segments.where(F.col("start_time") <= micros_literal(end))
+        segments = segments.where(F.col("start_us") <= micros(end))
     return segments
 
 
 def _decode(parts: list[dict], times_only: bool = False) -> tuple[np.ndarray, np.ndarray]:
     times, values = [], []
     for p in parts:
-        t = unpack_times(p["start_time"], p["n_points"], p["interval_us"], p["times"])
+        t = unpack_times(p["start_us"], p["n_points"], p["interval_us"], p["times"])
         times.append(t)
         if not times_only:
             values.append(decompress(p["model_type"], t, p["model_points"], np.float32(p["first_value"]), np.float32(p["last_value"]), p["residuals"]))
@@ -47,10 +55,6 @@ def _decode(parts: list[dict], times_only: bool = False) -> tuple[np.ndarray, np
     return np.concatenate(times) if times else np.zeros(0, np.int64), np.concatenate(values) if values else none
 
 
-def _as_micros(column: pa.Array) -> pa.Array:
-    return column.cast(pa.timestamp("us")).view(pa.int64()) if pa.types.is_timestamp(column.type) else column
-
-
 def _lists(times: list[np.ndarray], values: list[list[np.ndarray]]) -> pa.Array:
     """Per row its points as structs of a time and the values of all fields."""
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in times])]).astype(np.int32)
@@ -81,7 +85,7 @@ def points(segments: DataFrame, table: TimeSeriesTable, fields: Sequence[str], t
 
         @F.arrow_udf(T.ArrayType(inner))
         def unfold(*columns: pa.Array) -> pa.Array:
-            parts = [dict(zip(_PARTS, row)) for row in zip(*(_as_micros(c).to_pylist() for c in columns))]
+            parts = [dict(zip(_PARTS, row)) for row in zip(*(c.to_pylist() for c in columns))]
             found = [_decode([p], only_times) for p in parts]
             return _lists([t for t, _ in found], [[v if len(v) else np.zeros(len(t), np.float32) for t, v in found]])
 
@@ -99,7 +103,7 @@ def points(segments: DataFrame, table: TimeSeriesTable, fields: Sequence[str], t
             times: list[np.ndarray] = []
             values: list[list[np.ndarray]] = [[] for _ in number]
             flat = column.flatten()
-            columns = {f.name: _as_micros(flat.field(i)).to_pylist() for i, f in enumerate(flat.type)}
+            columns = {f.name: flat.field(i).to_pylist() for i, f in enumerate(flat.type)}
             sizes = np.diff(column.offsets.to_numpy())
             at = 0
             for size in sizes.tolist():
@@ -151,7 +155,9 @@ def sources(segments: DataFrame, table: TimeSeriesTable, expression: str) -> lis
 
 def _references(df: DataFrame) -> list:
     plan = df._jdf.queryExecution().analyzed()
-    if plan.nodeName() != "Project" or "Generate" in plan.toString():
+    # Aggregates, windows and generators add nodes of their own to the plan.
+    flat = plan.nodeName() == "Project" and plan.children().apply(0).children().size() == 0
+    if not flat or plan.subqueries().size():
         raise ValueError("only scalar functions can be used")
     found, it = [], plan.references().iterator()
     while it.hasNext():
@@ -197,9 +203,9 @@ def aggregate(segments: DataFrame, table: TimeSeriesTable, aggregates: Sequence[
     if start is not None or end is not None:
         inside = F.lit(True)
         if start is not None:
-            inside = inside & (F.col("start_time") >= micros_literal(start))
+            inside = inside & (F.col("start_us") >= micros(start))
         if end is not None:
-            inside = inside & (F.col("end_time") <= micros_literal(end))
+            inside = inside & (F.col("end_us") <= micros(end))
         columns = [quoted(t) for t in table.tags] + ["field_column", "n_points", "min_value", "max_value", "sum_value"]
         whole = parts.where(inside).select(*columns)
         for number in numbers:

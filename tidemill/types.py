@@ -187,12 +187,13 @@ class NormalTable:
 
 
 #: A segment without its tags and field. `chunk` and `first_point` say which points it holds: all fields of a chunk
-#: have the same points, so they are put together by position.
+#: have the same points, so they are put together by position. Times are microseconds since 1970-01-01: predicates on
+#: whole numbers reach the row groups of Parquet files, those on timestamps without zone don't (Spark 4.1).
 SEGMENT = T.StructType(
     [
         T.StructField("model_type", T.ByteType()),
-        T.StructField("start_time", T.TimestampNTZType()),
-        T.StructField("end_time", T.TimestampNTZType()),
+        T.StructField("start_us", T.LongType()),
+        T.StructField("end_us", T.LongType()),
         T.StructField("n_points", T.IntegerType()),
         T.StructField("model_points", T.IntegerType()),
         T.StructField("interval_us", T.LongType()),
