@@ -74,3 +74,13 @@ def test_partition_values_stay_strings(spark, tmp_path):
     with made(spark) as folder:
         import_parquet(folder, "points", out)
         assert folder.frame("points").first()["tag"] == "007"
+
+
+def test_shell(spark, capsys):
+    from tidemill import shell
+
+    assert shell.split("SELECT ';' AS a; -- x;\nSELECT 2;;") == ["SELECT ';' AS a", "-- x;\nSELECT 2"]
+    with made(spark) as folder:
+        folder.write("points", rows(spark, 3))
+        shell.serve(folder, ["\\dt", "\\d points", "SELECT count(*) AS n FROM points", "DROP TABLE none", "\\q", "\\h"])
+    assert capsys.readouterr().out.splitlines() == ["points", "ts: timestamp_ntz", "tag: string", "value: float, error bound 0", "n", "3", "Invalid Argument Error: Table with name 'none' does not exist."]
