@@ -78,3 +78,22 @@ def test_merging_is_associative(intervals):
     for s, e in zip(right.starts, right.ends):
         left.insert(s, e)
     assert (left.starts, left.ends) == (whole.starts, whole.ends)
+
+
+def test_stream_keeps_periods_in_state(spark, tmp_path):
+    from tidemill.streaming.intervals import stream_intervals
+
+    source = str(tmp_path / "in")
+    schema = "k string, s long, e long"
+
+    def step(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        seen: list = []
+        stream = stream_intervals(spark.readStream.schema(schema).parquet(source), ["k"], "s", "e", 2)
+        query = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(seen)
+
+    assert step([("a", 0, 5), ("a", 20, 30), ("a", 7, 9), ("b", 1, 1), ("b", 5, 3)]) == [("a", "period", 0, 9), ("a", "period", 20, 30), ("b", "period", 1, 1)]
+    assert step([("a", 9, 19), ("b", None, 4)]) == [("a", "period", 0, 30), ("a", "replaced", 0, 9), ("a", "replaced", 20, 30)]
+    assert step([("a", 1, 2)]) == []

@@ -41,17 +41,19 @@ def manifest(files: DataFrame) -> DataFrame:
     return once.select("file_id", "folder", "table_name", "field_column", "file_name", "__first.*")
 
 
-def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, spread: Column, name: str) -> DataFrame:
-    """Adds `name`: the sum of `value` over the rows of the group up to and including this one.
+def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, spread: Column, name: str, size: str) -> DataFrame:
+    """Adds `name`: the sum of `value` over the rows of the group up to and including this one, and `size`: how many
+    rows the group has.
 
     `spread` is a column that never falls along `order`. Sums within a stretch of equal `spread` and sums of whole
     stretches are added, so that a group of any size is shared out over its stretches.
     """
     group = list(group)
     stretched = df.withColumn("__stretch", spread)
-    totals = stretched.groupBy(*group, "__stretch").agg(F.sum(value).alias("__total"))
+    totals = stretched.groupBy(*group, "__stretch").agg(F.sum(value).alias("__total"), F.count("*").alias("__rows"))
     ahead = Window.partitionBy(*group).orderBy(F.col("__stretch").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*group, "__stretch", F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__offset"))
+    whole = F.sum("__rows").over(Window.partitionBy(*group)).alias(size)
+    offsets = totals.select(*group, "__stretch", F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__offset"), whole)
     within = Window.partitionBy(*group, "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = attach(stretched, offsets, [*group, "__stretch"])
     return placed.withColumn(name, F.col("__offset") + F.sum(value).over(within)).drop("__stretch", "__offset")
@@ -70,13 +72,11 @@ def plan_compaction(files: DataFrame, small_bytes: int = SMALL_BYTES, target_byt
     live = manifest(files)
     group = ["folder", "table_name", "field_column"]
     small = live.where(F.col("size_bytes") < small_bytes)
-    counts = small.groupBy(*group).agg(F.count("*").alias("small_files"))
     # Stretches of an hour of writing: as many as a folder has hours, however many files it has.
-    summed = running_total(small, group, [F.col("modified").asc_nulls_first(), "file_id"], "size_bytes", F.date_trunc("hour", F.col("modified")), "__bytes")
-    small = attach(summed, counts, group)
+    summed = running_total(small, group, [F.col("modified").asc_nulls_first(), "file_id"], "size_bytes", F.date_trunc("hour", F.col("modified")), "__bytes", "small_files")
     together = F.col("small_files") > 1
     index = F.floor((F.col("__bytes") - F.col("size_bytes")) / F.lit(target_bytes)).cast("long")
-    planned = small.withColumn("group_index", F.when(together, index)).withColumn("rewrite", together).drop("__bytes")
+    planned = summed.withColumn("group_index", F.when(together, index)).withColumn("rewrite", together).drop("__bytes")
     large = live.where(F.col("size_bytes") >= small_bytes)
     rest = large.withColumn("small_files", F.lit(0).cast("long")).withColumn("group_index", F.lit(None).cast("long")).withColumn("rewrite", F.lit(False))
     return planned.unionByName(rest)
