@@ -287,13 +287,13 @@ _PLAIN_SQL: dict[str, tuple[str, str | None]] = {
         None,
     ),
     "agg_bool_bit": ("SELECT bool_and(l_quantity > 0) AS every_one, bool_or(l_quantity > 49) AS any_one, bit_and(l_linenumber) AS a, bit_or(l_linenumber) AS o, bit_xor(l_linenumber) AS x FROM lineitem", None),
-    "agg_median": ("SELECT l_returnflag, ROUND(median(l_quantity), 3) AS middle, ROUND(percentile(l_extendedprice, 0.9), 2) AS high FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(median(l_quantity), 3) AS middle, round(quantile_cont(l_extendedprice, 0.9), 2) AS high FROM lineitem GROUP BY l_returnflag"),
+    "agg_median": ("SELECT l_returnflag, ROUND(median(l_quantity), 3) AS middle, ROUND(percentile_cont(l_extendedprice, 0.9), 2) AS high FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, round(median(l_quantity), 3) AS middle, round(quantile_cont(l_extendedprice, 0.9), 2) AS high FROM lineitem GROUP BY l_returnflag"),
     "agg_array_ordered": (
-        "SELECT n_regionkey, array_join(transform(array_sort(collect_list(struct(n_name))), x -> x.n_name), ',') AS names FROM nation GROUP BY n_regionkey",
-        "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, array_join(array_agg(n_name ORDER BY n_nationkey DESC), ',') AS names FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey DESC) AS names FROM nation GROUP BY n_regionkey",
     ),
-    "agg_string": ("SELECT n_regionkey, listagg(n_name, ';') WITHIN GROUP (ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey"),
-    "agg_first_last": ("SELECT o_custkey, min_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS first_order, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY o_custkey", "SELECT o_custkey, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_order, last(o_orderkey ORDER BY o_orderdate, o_orderkey) AS last_order FROM orders GROUP BY o_custkey"),
+    "agg_string": ("SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey"),
+    "agg_first_last": ("SELECT o_custkey, first_value(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_order, last_value(o_orderkey ORDER BY o_orderdate, o_orderkey) AS last_order FROM orders GROUP BY o_custkey", "SELECT o_custkey, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_order, last(o_orderkey ORDER BY o_orderdate, o_orderkey) AS last_order FROM orders GROUP BY o_custkey"),
     "win_rank": (
         "SELECT s_suppkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ROUND(percent_rank() OVER w, 6) AS pr, ROUND(cume_dist() OVER w, 6) AS cd FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey)",
         None,
@@ -336,7 +336,7 @@ _PLAIN_SQL: dict[str, tuple[str, str | None]] = {
         "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size IN (11, 12, 13) THEN 'middle' ELSE 'large' END AS size, p_name ILIKE '%A%' AS has_a, p_brand IS DISTINCT FROM 'Brand#11' AS other, CAST(p_retailprice AS INT) IS NOT NULL AS priced FROM part",
         None,
     ),
-    "pred_similar": ("SELECT p_partkey FROM part WHERE p_brand RLIKE '^Brand#[1-3][1-5]$'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#[1-3][1-5]')"),
+    "pred_similar": ("SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#[1-3][1-5]' AND p_brand ~ '#'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#[1-3][1-5]')"),
     "pred_cast_sign": ("SELECT o_orderkey::STRING AS k, '7'::INT + 1 AS n FROM orders", "SELECT o_orderkey::VARCHAR AS k, '7'::INT + 1 AS n FROM orders"),
     "fn_math": (
         "SELECT p_partkey, gcd(p_partkey, p_size) AS g, lcm(p_size, 6) AS l, ROUND(sqrt(p_retailprice), 4) AS q, ROUND(ln(p_retailprice), 4) AS ln, ROUND(log10(p_retailprice), 4) AS lg, floor(p_retailprice) AS fl, ceil(p_retailprice) AS ce, signum(p_size - 25) AS sg, ROUND(power(p_size, 2), 1) AS pw, ROUND(atan2(p_size, 3), 5) AS at, ROUND(degrees(1), 4) AS dg, ROUND(radians(p_size), 5) AS ra, iszero(p_size - 7) AS z, trunc_to(p_retailprice, 1) AS tr, ROUND(cbrt(p_size), 5) AS cb FROM part",
@@ -354,7 +354,7 @@ _PLAIN_SQL: dict[str, tuple[str, str | None]] = {
         "SELECT o_orderkey, date_part('year', o_orderdate) AS y, date_trunc('month', o_orderdate) AS m, CAST(make_date(2024, 2, 29) AS STRING) AS d, datediff(o_orderdate, DATE '1992-01-01') AS n, to_char(o_orderdate, 'yyyy-MM-dd') AS t, o_orderdate + INTERVAL '1' DAY AS later FROM orders",
         "SELECT o_orderkey, CAST(date_part('year', o_orderdate) AS INTEGER) AS y, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(make_date(2024, 2, 29) AS VARCHAR) AS d, CAST(date_diff('day', DATE '1992-01-01', o_orderdate) AS INTEGER) AS n, strftime(o_orderdate, '%Y-%m-%d') AS t, o_orderdate + INTERVAL 1 DAY AS later FROM orders",
     ),
-    "fn_date_bin": ("SELECT date_bin_us(900000000, ts, TIMESTAMP_NTZ '1970-01-01 00:00:00') AS slot, COUNT(*) AS n FROM events GROUP BY ALL", "SELECT time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01 00:00:00') AS slot, count(*) AS n FROM events GROUP BY ALL"),
+    "fn_date_bin": ("SELECT date_bin(INTERVAL '15 minutes', ts) AS slot, COUNT(*) AS n FROM events GROUP BY ALL", "SELECT time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01 00:00:00') AS slot, count(*) AS n FROM events GROUP BY ALL"),
     "fn_array": (
         "SELECT n_nationkey, array_length(make_array(1, 2, n_nationkey)) AS n, array_has(make_array(1, 2), n_nationkey) AS h, array_to_string(array_sort(make_array(n_name, 'B', 'A')), '+') AS s, array_to_string(array_distinct(make_array('a', 'b', 'a')), '') AS d, array_position(make_array('x', 'y'), 'y') AS p, array_to_string(string_to_array('a.b', '.'), '|') AS w, array_max(make_array(3, n_regionkey)) AS m, array_length(flatten(make_array(make_array(1), make_array(2, 3)))) AS f FROM nation",
         "SELECT n_nationkey, CAST(3 AS INTEGER) AS n, list_contains([1, 2], n_nationkey) AS h, array_to_string(list_sort([n_name, 'B', 'A']), '+') AS s, 'ab' AS d, CAST(2 AS BIGINT) AS p, array_to_string(string_split('a.b', '.'), '|') AS w, greatest(3, n_regionkey) AS m, CAST(3 AS INTEGER) AS f FROM nation",
