@@ -124,6 +124,18 @@ def test_late_repeated_and_equal_points_are_kept(folder, spark):
     assert folder.segments("series").count() == 4
 
 
+def test_segments_within_a_bound_are_merged_as_they_are(spark):
+    with open_memory(spark) as folder:
+        folder.sql("CREATE TIME SERIES TABLE s(t TIMESTAMP, k TAG, a FIELD(10%), b FIELD)")
+        rows = spark.range(600).select(F.timestamp_seconds("id").cast("timestamp_ntz"), F.concat(F.lit("k"), F.col("id") % 2), (F.col("id") * 1.5 + F.rand(1)).cast("float"), F.col("id").cast("float"))
+        for half in (0, 1):
+            folder.write("s", rows.where(F.floor(F.col("id") / 300) == half))
+        before, stats = rows_of(folder.frame("s")), rows_of(folder.segment_stats("s"))
+        folder.optimize("s")
+        assert rows_of(folder.frame("s")) == before and rows_of(folder.segment_stats("s")) == stats
+        assert len(folder._log("s").state().commits) == 1 and folder.vacuum("s", 0) == 2
+
+
 def test_fields_stay_together_over_chunks(spark):
     with open_memory(spark) as folder:
         folder.sql("CREATE TIME SERIES TABLE s(t TIMESTAMP, a FIELD, b FIELD(1%), k TAG)")

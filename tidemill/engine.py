@@ -141,14 +141,25 @@ class DataFolder:
         return self._log(table.name).append(write, batches, replace)
 
     def optimize(self, name: str) -> None:
-        """Rewrite a time series table's points as if they had come at once: late data and small commits are merged."""
+        """Merge a time series table's commits to one.
+
+        Lossless points are compressed again as if they had come at once, which also merges late data. Segments with
+        an error bound stay as they are, as their values would need more bytes to be kept exactly and compressing
+        them within the bound again would add up; they go to fewer files.
+        """
         table = self._time_series(name)
         commits = self._log(table.name).state().commits
-        if commits:
-            rows = scan.points(self.segments(table), table, [f.name for f in table.fields])
-            exact = TimeSeriesTable(table.name, tuple(c if c.bound.is_lossless else type(c)(c.name, c.kind, type(c.bound)(), c.expression) for c in table.columns))
-            # Values are within their bound already; compressing them with it again would add up.
-            self._append_segments(table, ingest.to_segments(rows.select(*exact.schema.fieldNames()), exact), replace=commits)
+        if not commits:
+            return
+        segments = self.segments(table)
+        if all(f.bound.is_lossless for f in table.fields):
+            points = scan.points(segments, table, [f.name for f in table.fields])
+            segments = ingest.to_segments(points.select(*[quoted(c) for c in table.schema.fieldNames()]), table)
+        else:
+            # By series and month: a large series is spread, and a small one has few files.
+            month = F.floor(F.col("start_us") / (30 * 86_400_000_000))
+            segments = segments.repartition("field_column", *[F.col(quoted(t)) for t in table.tags], month)
+        self._append_segments(table, segments, replace=commits)
 
     def segments(self, table: TimeSeriesTable | str) -> DataFrame:
         """The segments of a time series table, as they are stored."""
