@@ -42,7 +42,7 @@ class Settings:
     longest: int = 3
     risk: float = 1e-7
     least: float = 10.0
-    margin: float = 0.75
+    margin: float = 0.85
 
 
 def wrap(difference: np.ndarray, period: float | None) -> np.ndarray:
@@ -80,9 +80,9 @@ def _summary(times: np.ndarray, values: list[np.ndarray], rules: list[Rules]) ->
             away = _residuals(p, rule.period)
             size = np.abs(away)
             robust = 1.4826 * float(np.median(size))
-            # Where most values equal their level, the scatter is that of the clipped mean.
+            # The median of coarse readings is a multiple of their resolution; the mean of clipped sizes isn't.
             clipped = 1.2533 * float(np.mean(np.minimum(size, 6 * robust if robust else np.quantile(size, 0.98))))
-            sizes[:] = max(robust, clipped), len(p), 0
+            sizes[:] = clipped, len(p), 0
             bins = np.clip(np.floor(4 * (np.log2(np.maximum(size, 2.0**-21)) + 20)), 0, BINS - 1).astype(int)
             counts += np.bincount(bins, minlength=BINS).astype(np.int32)
             hour = (times[good][possible] // HOUR_US % 24).astype(int)
