@@ -297,3 +297,18 @@ def test_tables_made_in_python(spark):
         folder.write("plain", spark.createDataFrame([(at(-5), 1.0), (at(0), 1.2), (at(7), 1.4)], "ts timestamp_ntz, value float"))
         assert rows_of(folder.sql("SELECT ts FROM plain")) == [(at(-5),), (at(0),), (at(7),)]
         assert folder.sql("SELECT count(*) AS n FROM plain WHERE ts < '1970-01-01'").first()["n"] == 1
+
+
+def test_value_predicates_reach_segments(folder, spark):
+    nan = float("nan")
+    folder.write("series", points(spark, [(400, "tag_x", "tag_a", nan, 1.0), (500, "tag_x", "tag_a", -5.0, 1.0)]))
+    found = folder.sql("SELECT field_1 FROM series WHERE field_1 > 72.5 AND tag_1 = 'tag_y'")
+    assert rows_of(found) == [(73.0,)]
+    assert "GreaterThanOrEqual(max_value,72.5)" in plan(found)
+    assert len(folder.sql("SELECT field_1 FROM series WHERE field_1 >= 70").collect()) == 4
+    assert [r[0] for r in folder.sql("SELECT field_1 FROM series WHERE field_1 < 37").collect()] == [-5.0]
+    assert [r[0] for r in folder.sql("SELECT field_1 FROM series WHERE 38 = field_1").collect()] == [38.0]
+    assert folder.sql("SELECT count(*) AS n FROM series WHERE field_1 > double('NaN') OR field_1 > 1000").first()["n"] == 1
+    # A self join uses the table twice, so only bounds that hold for both count.
+    both = folder.sql("SELECT a.field_1 FROM series a JOIN series b ON a.timestamp = b.timestamp AND a.field_1 > 70 AND b.field_1 < 40")
+    assert sorted(r[0] for r in both.collect()) == [71.0, 72.0, 73.0]

@@ -42,7 +42,6 @@ class DataFolder:
         self.spark = ship(spark)
         self.url, self._temporary = url, temporary
         self.files = Files(spark, url)
-        self.options = {"parquet.compression": "zstd"}
         shims.register(spark)
 
     def __enter__(self) -> DataFolder:
@@ -193,13 +192,16 @@ class DataFolder:
 
     # Reading
 
-    def frame(self, name: str, columns: Sequence[str] | None = None, time_range: scan.Range = (None, None)) -> DataFrame:
-        """A table as a DataFrame; only the given columns, and points of the range, are read."""
+    def frame(self, name: str, columns: Sequence[str] | None = None, time_range: scan.Range = (None, None), value_range: scan.Values = (None, None)) -> DataFrame:
+        """A table as a DataFrame; only the given columns, and points of the time range, are read.
+
+        `value_range` leaves out segments without values in it if one field is read; other values are not left out.
+        """
         table = self.table(name)
         if isinstance(table, NormalTable):
             rows = self._log(table.name).read(table.schema, False)
             return rows if columns is None else rows.select(*[quoted(c) for c in columns])
-        return scan.view(self.segments(table), table, columns, time_range)
+        return scan.view(self.segments(table), table, columns, time_range, value_range)
 
     def read(self, sql: str) -> DataFrame:
         """The result of a query."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.regular_grid import running_median
 from tidemill.operators.series import HOUR_US, pack, pack_blocks, unpack
-from tidemill.runtime import attach, complete_groups, durable, group_starts, quoted, struct_text
+from tidemill.runtime import attach, complete_groups, durable, group_starts, struct_text
 
 #: Values kept of each block's edges, for the levels of its neighbours.
 EDGE = 16

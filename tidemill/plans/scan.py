@@ -18,6 +18,7 @@ from tidemill.types import TimeSeriesTable
 
 _PARTS = ["model_type", "start_us", "n_points", "model_points", "interval_us", "times", "first_value", "last_value", "residuals"]
 Range = tuple[datetime | int | None, datetime | int | None]
+Values = tuple[float | None, float | None]
 
 
 def micros_literal(value: datetime | int) -> Column:
@@ -64,12 +65,13 @@ def _lists(times: list[np.ndarray], values: list[list[np.ndarray]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), points)
 
 
-def points(segments: DataFrame, table: TimeSeriesTable, fields: Sequence[str], time_range: Range = (None, None)) -> DataFrame:
+def points(segments: DataFrame, table: TimeSeriesTable, fields: Sequence[str], time_range: Range = (None, None), value_range: Values = (None, None)) -> DataFrame:
     """The points of some stored fields: the timestamp, the tags and the fields, generated ones not included.
 
     Without a field, the first stored one is read for its times. One field is decoded segment by segment, without a
     shuffle. Several are put together by chunk: segments, not points, are shuffled, and all of a chunk's fields hold
-    the same points, so equal timestamps and late data don't matter.
+    the same points, so equal timestamps and late data don't matter. Of one field, segments that have no value in
+    `value_range` (ends included, NaN above all others) aren't decoded; the values themselves are not filtered.
     """
     wanted = list(fields) or [table.fields[0].name]
     number = [table.index(f) for f in wanted]
@@ -81,6 +83,10 @@ def points(segments: DataFrame, table: TimeSeriesTable, fields: Sequence[str], t
     if len(wanted) == 1:
         # Without predicates between them, segments in the range are all that is decoded.
         chosen = in_time(chosen, *time_range)
+        if fields and value_range[0] is not None:
+            chosen = chosen.where(F.col("max_value") >= F.lit(value_range[0]))
+        if fields and value_range[1] is not None:
+            chosen = chosen.where(F.col("min_value") <= F.lit(value_range[1]))
         only_times = not fields
 
         @F.arrow_udf(T.ArrayType(inner))
@@ -127,7 +133,7 @@ def points(segments: DataFrame, table: TimeSeriesTable, fields: Sequence[str], t
     return rows.select(*names, *tags) if fields else rows.select(time, *tags)
 
 
-def view(segments: DataFrame, table: TimeSeriesTable, columns: Sequence[str] | None = None, time_range: Range = (None, None)) -> DataFrame:
+def view(segments: DataFrame, table: TimeSeriesTable, columns: Sequence[str] | None = None, time_range: Range = (None, None), value_range: Values = (None, None)) -> DataFrame:
     """The table as it is read: the given columns (None: all) in their order, generated ones computed."""
     wanted = [c.name for c in table.columns] if columns is None else list(columns)
     known = {c.name: c for c in table.columns}
@@ -136,7 +142,7 @@ def view(segments: DataFrame, table: TimeSeriesTable, columns: Sequence[str] | N
     needed = {c for c in wanted if c in stored}
     for g in generated:
         needed |= set(sources(segments, table, g.expression))
-    rows = points(segments, table, [f for f in stored if f in needed], time_range)
+    rows = points(segments, table, [f for f in stored if f in needed], time_range, value_range)
     for g in generated:
         rows = rows.withColumn(g.name, F.expr(g.expression).cast("float"))
     return rows.select(*[quoted(c) for c in wanted])
