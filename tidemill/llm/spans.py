@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.runtime import complete_groups, durable, int64, quoted
+from tidemill.runtime import durable, int64, quoted
 
 #: Characters of a text that are looked at together; longer texts are gone through in overlapping stretches.
 STRETCH = 1 << 20
