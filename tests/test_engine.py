@@ -312,3 +312,16 @@ def test_value_predicates_reach_segments(folder, spark):
     # A self join uses the table twice, so only bounds that hold for both count.
     both = folder.sql("SELECT a.field_1 FROM series a JOIN series b ON a.timestamp = b.timestamp AND a.field_1 > 70 AND b.field_1 < 40")
     assert sorted(r[0] for r in both.collect()) == [71.0, 72.0, 73.0]
+
+
+def test_bounds_leave_subqueries_whole(folder):
+    late = "timestamp >= TIMESTAMP '1970-01-01 00:00:00.0003'"
+    above = folder.sql(f"SELECT field_1 FROM series WHERE {late} AND field_1 < (SELECT AVG(field_1) + 15 FROM series)")
+    assert rows_of(above) == [(39.0,)]
+    assert rows_of(folder.sql(f"SELECT field_1 FROM series WHERE {late} AND EXISTS (SELECT 1 FROM series WHERE field_1 = 37)")) == [(39.0,), (71.0,)]
+    assert rows_of(folder.sql("SELECT (SELECT COUNT(field_1 + 0) FROM series) AS n FROM series WHERE field_1 > 72.5")) == [(6,)]
+    # A subquery in a filter on a tag is pushed below the decoding.
+    assert rows_of(folder.sql(f"SELECT field_1 FROM series WHERE {late} AND tag_1 = (SELECT MIN(tag_1) FROM series WHERE field_1 = 37)")) == [(39.0,)]
+    nested = "SELECT MAX(field_1) FROM series WHERE field_1 < (SELECT AVG(field_1) FROM series)"
+    assert rows_of(folder.sql(f"SELECT field_1 FROM series WHERE {late} AND field_1 > ({nested})")) == [(71.0,)]
+    assert "GreaterThanOrEqual(end_us,300)" in plan(folder.sql(f"SELECT field_1 FROM series WHERE {late} AND field_1 > (SELECT 40)"))
