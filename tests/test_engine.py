@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemill.engine import connect, open_local, open_memory, open_url
 from tidemill.errors import InvalidArgument, InvalidState, Unimplemented
-from tidemill.plans import pushdown
+from tidemill.plans import pushdown, scan
 from tidemill.types import Column, ErrorBound, Kind, TimeSeriesTable
 
 DDL = "CREATE TIME SERIES TABLE series(timestamp TIMESTAMP, tag_1 TAG, tag_2 TAG, field_1 FIELD, field_2 FIELD, both FIELD AS (field_1 + field_2))"
@@ -325,3 +325,30 @@ def test_bounds_leave_subqueries_whole(folder):
     nested = "SELECT MAX(field_1) FROM series WHERE field_1 < (SELECT AVG(field_1) FROM series)"
     assert rows_of(folder.sql(f"SELECT field_1 FROM series WHERE {late} AND field_1 > ({nested})")) == [(71.0,)]
     assert "GreaterThanOrEqual(end_us,300)" in plan(folder.sql(f"SELECT field_1 FROM series WHERE {late} AND field_1 > (SELECT 40)"))
+
+
+@pytest.mark.parametrize("bound", ["", "(2%)"])
+def test_copy_of_a_range_that_cuts_a_chunk(spark, bound):
+    day = 86_400_000_000
+    with open_memory(spark) as folder, open_memory(spark) as target:
+        for f in (folder, target):
+            f.sql(f"CREATE TIME SERIES TABLE s(t TIMESTAMP, k TAG, a FIELD{bound}, b FIELD)")
+        # 34,560 points of a series in a week: one chunk, with segments that end at different points for each field.
+        rows = spark.range(34_560).select(F.timestamp_micros(F.lit(7 * day) + F.col("id") * 17_500_000).cast("timestamp_ntz"), F.lit("x"), (F.floor(F.col("id") / 700) * 3 + F.floor(F.col("id") / 3000) * F.rand(2)).cast("float"), F.rand(3).cast("float"))
+        folder.write("s", rows)
+        segments = [r.asDict() for r in folder.segments("s").select("chunk", "field_column", "start_us", "end_us").collect()]
+        assert len({r["chunk"] for r in segments}) == 1
+        points = [(scan.micros(r[0]), *r[1:]) for r in folder.frame("s").orderBy("t").collect()]
+        want = []
+        for low, high in ((8 * day, 10 * day), (None, 8 * day - 1), (12 * day + 1, None), (9 * day, 9 * day + 1)):
+            inside = [[(r["start_us"], r["end_us"]) for r in segments if r["field_column"] == n and (low is None or r["start_us"] >= low) and (high is None or r["end_us"] <= high)] for n in (2, 3)]
+            part = [p for p in points if all(any(a <= p[0] <= b for a, b in spans) for spans in inside)]
+            want += part
+            assert bool(part) == (high != 9 * day + 1)
+            folder.copy_time_series_table("s", target, "s", low, high)
+            found = sorted((scan.micros(r[0]), *r[1:]) for r in target.frame("s").collect())
+            assert found == sorted(want)
+        assert target.sql("SELECT COUNT(a) AS n FROM s").first()["n"] == target.sql("SELECT COUNT(b) AS n FROM s").first()["n"] == len(want)
+        before = len(want)
+        folder.copy_time_series_table("s", target, "s", 7 * day, 30 * day)
+        assert target.frame("s").count() == before + 34_560

@@ -340,22 +340,25 @@ class DataFolder:
         target.write(name, self.read(sql))
 
     def copy_time_series_table(self, name: str, target: DataFolder, target_name: str, start: datetime | int | None = None, end: datetime | int | None = None, tags: Mapping[str, str] | None = None) -> None:
-        """Copy the segments that lie in the range as a whole, without decoding them."""
+        """Copy the segments that lie in the range as a whole, both ends included.
+
+        A chunk in the range is copied without decoding. Of one across an end, the points go whose segments lie in the
+        range for every field, as a chunk of its own: only segments of another field that reach beyond these points
+        are decoded, and what is left of them is stored exactly.
+        """
         table, other = self._time_series(name), target._time_series(target_name)
         _same_columns(table, other)
         segments = self._tagged(table, tags)
-        if start is not None:
-            segments = segments.where(F.col("start_us") >= scan.micros(start))
-        if end is not None:
-            segments = segments.where(F.col("end_us") <= scan.micros(end))
-        # All of a chunk's fields must go together; a chunk goes if all its segments of every field lie in the range.
+        # All of a chunk's fields must go together.
         if start is not None or end is not None:
-            whole = self._tagged(table, tags).groupBy("chunk").agg(F.min("start_us").alias("__a"), F.max("end_us").alias("__b"))
+            spans = segments.groupBy("chunk").agg(F.min("start_us").alias("__a"), F.max("end_us").alias("__b"))
+            inside, near = F.lit(True), F.lit(True)
             if start is not None:
-                whole = whole.where(F.col("__a") >= scan.micros(start))
+                inside, near = inside & (F.col("__a") >= scan.micros(start)), near & (F.col("__b") >= scan.micros(start))
             if end is not None:
-                whole = whole.where(F.col("__b") <= scan.micros(end))
-            segments = _cut_chunks(segments, whole, table)
+                inside, near = inside & (F.col("__b") <= scan.micros(end)), near & (F.col("__a") <= scan.micros(end))
+            across = _of_chunks(segments, spans.where(near & ~inside))
+            segments = _of_chunks(segments, spans.where(inside)).unionByName(ingest.cut(across, table, start, end))
         target._append_segments(other, segments.toDF(*other.segment_schema.fieldNames()))
 
     def move(self, name: str, target: DataFolder, target_name: str) -> None:
@@ -392,9 +395,9 @@ class DataFolder:
         raise InvalidArgument(f"Table with name 'metadata.{name}' does not exist.")
 
 
-def _cut_chunks(segments: DataFrame, whole: DataFrame, table: TimeSeriesTable) -> DataFrame:
-    """Segments of chunks that are in the range as a whole; of other chunks none, as their fields would not match."""
-    return segments.join(whole.select(F.col("chunk").alias("__chunk")), F.col("chunk") == F.col("__chunk"), "left_semi")
+def _of_chunks(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Segments of the given chunks."""
+    return segments.join(chunks.select(F.col("chunk").alias("__chunk")), F.col("chunk") == F.col("__chunk"), "left_semi")
 
 
 def _same_columns(a: TimeSeriesTable, b: TimeSeriesTable) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.compression.segments import compress, pack_times
+from tidemill.plans import scan
 from tidemill.runtime import arrow_schema, complete_groups, epoch_day, group_starts, int64, quoted
-from tidemill.types import TimeSeriesTable
+from tidemill.types import ErrorBound, TimeSeriesTable
 
 #: Points of a chunk at most: all fields of a chunk are compressed and put together again as one.
 CHUNK_POINTS = 65_536
@@ -68,6 +70,54 @@ def _chunk_id(load: int, part: int, serial: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def cut(segments: DataFrame, table: TimeSeriesTable, start: datetime | int | None, end: datetime | int | None) -> DataFrame:
+    """Of each chunk the points that lie in segments from start to end for every field, as a chunk of its own.
+
+    Segments of these points alone stay as they are. What is left of others is decoded and compressed without loss, so
+    values within a bound don't move any further. A chunk without such points gives no segments.
+    """
+    schema = table.segment_schema
+    names = schema.fieldNames()
+    fields = arrow_schema(segments.sparkSession.createDataFrame([], schema), names)
+    low = scan.micros(start) if start is not None else None
+    high = scan.micros(end) if end is not None else None
+    numbers = [table.index(f.name) for f in table.fields]
+    load = uuid.uuid4().int & ((1 << 62) - 1)
+    keys = ["chunk", *table.tags]
+
+    def piece(chunk: list[dict]) -> Iterator[tuple]:
+        first, last = 0, CHUNK_POINTS
+        for number in numbers:
+            inside = [r for r in chunk if r["field_column"] == number and (low is None or r["start_us"] >= low) and (high is None or r["end_us"] <= high)]
+            first = max([first, min((r["first_point"] for r in inside), default=last)])
+            last = min([last, max((r["first_point"] + r["n_points"] for r in inside), default=first)])
+        for r in chunk:
+            a, b = max(first, r["first_point"]), min(last, r["first_point"] + r["n_points"])
+            if a >= b:
+                continue
+            # Different chunks stay different, and the load keeps them off those copied before.
+            own = _chunk_id(load, 0, r["chunk"])
+            if b - a == r["n_points"]:
+                yield tuple((r | {"chunk": own, "first_point": a - first})[n] for n in names)
+                continue
+            t, v = scan._decode([r])
+            t, v = t[a - r["first_point"] : b - r["first_point"]], v[a - r["first_point"] : b - r["first_point"]]
+            for s in compress(t, v, ErrorBound()):
+                row = dict(zip(names, _row(s, t, own, tuple(r[k] for k in table.tags), r["field_column"])))
+                yield tuple((row | {"first_point": a - first + s.first})[n] for n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in complete_groups(batches, keys, 5_000):
+            found = whole.select(names).to_pylist()
+            starts = group_starts(whole, keys).tolist()
+            rows = [row for a, b in zip(starts, [*starts[1:], len(found)]) for row in piece(found[a:b])]
+            if rows:
+                yield _batch(rows, fields)
+
+    order = [quoted(k) for k in keys]
+    return segments.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
 def _blocked(batches: Iterator[pa.RecordBatch], time: str, days: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         block = int64(batch.column(time)) // (days * 86_400_000_000)
