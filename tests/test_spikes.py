@@ -102,3 +102,15 @@ def test_cutoff_of_a_normal_tail():
 
 def test_shorter_way_round():
     assert wrap(np.array([350.0, -350.0, 180.0, 10.0]), 360.0).tolist() == [-10.0, 10.0, -180.0, 10.0]
+
+
+def test_directions_half_a_turn_off_are_found(spark):
+    for noise, turn in ((1, 180), (5, 180), (5, 175), (8, 170)):
+        rng = np.random.default_rng(noise + turn)
+        t, speed, _ = series(3000, 7)
+        heading = 350 + 15 * np.sin(np.arange(3000) / 150) + rng.normal(0, noise, 3000)
+        # Alone, two and three in a row, and two that are close to each other.
+        spikes = [*range(50, 2900, 40), *(i + k for i in range(65, 2900, 320) for k in (0, 1)), *(i + k for i in range(225, 2900, 320) for k in (0, 1, 2)), 1012]
+        heading[spikes] += turn
+        found = run(spark, t, speed, np.round(heading % 360, 1))
+        assert flagged(found, "heading", "spike") == {us(t[i]) for i in spikes}

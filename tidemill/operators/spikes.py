@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,16 +54,42 @@ def wrap(difference: np.ndarray, period: float | None) -> np.ndarray:
     return (difference + period / 2) % period - period / 2
 
 
-def unrolled(values: np.ndarray, period: float | None) -> np.ndarray:
-    """Circular values as a continuous curve."""
-    if period is None or not len(values):
-        return values
-    return values[0] + np.concatenate([[0.0], np.cumsum(wrap(np.diff(values), period))])
+def _level(values: np.ndarray, start: int, end: int, period: float | None) -> float:
+    """The median of a stretch; of circular values about their mean direction, which a few far off don't turn round."""
+    part = values[max(start, 0) : end].tolist()
+    about = 0.0
+    if period is not None:
+        turn = 2 * math.pi / period
+        about = math.atan2(sum(math.sin(v * turn) for v in part), sum(math.cos(v * turn) for v in part)) / turn
+        part = [(v - about + period / 2) % period - period / 2 for v in part]
+    part.sort()
+    half = len(part) // 2
+    return about + (part[half] if len(part) % 2 else (part[half - 1] + part[half]) / 2)
+
+
+def running_level(values: np.ndarray, period: float | None, width: int = 9) -> np.ndarray:
+    """The running median; of circular values about each window's mean direction.
+
+    Unrolling them to a curve first would hide spikes half a turn off: the steps up and back may wrap to one sign, and
+    the spike then is between the values before and those after it.
+    """
+    if period is None:
+        return running_median(values, width)
+    n, half = len(values), width // 2
+    level = np.empty(n)
+    if n >= width:
+        windows = sliding_window_view(values, width)
+        turns = sliding_window_view(np.exp(2j * np.pi / period * values), width).sum(axis=1)
+        about = np.angle(turns) * period / (2 * np.pi)
+        level[half : n - half] = about + np.partition(wrap(windows - about[:, None], period), half, axis=1)[:, half]
+    for i in range(n) if n < width else [*range(half), *range(n - half, n)]:
+        h = min(half, i, n - 1 - i)
+        level[i] = _level(values, i - h, i + h + 1, period)
+    return level
 
 
 def _residuals(values: np.ndarray, period: float | None) -> np.ndarray:
-    curve = unrolled(values, period)
-    return wrap(curve - running_median(curve), period)
+    return wrap(values - running_level(values, period), period)
 
 
 def _summary(times: np.ndarray, values: list[np.ndarray], rules: list[Rules]) -> dict:
@@ -162,20 +190,14 @@ def _carried(rows: list[dict], i: int, rule: Rules, settings: Settings) -> list[
     ]
 
 
-def _level(curve: np.ndarray, start: int, end: int) -> float:
-    part = np.sort(curve[max(start, 0) : end])
-    return float(part[len(part) // 2]) if len(part) % 2 else float(part[len(part) // 2 - 1 : len(part) // 2 + 1].mean())
-
-
 def spike_mask(values: np.ndarray, times: np.ndarray, rule: Rules, settings: Settings, scatter: float, cut: float, profile: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Which of a block's possible values are spikes; `before` and `after` are the values around the block."""
     n, lead = len(values), len(before)
     found = np.zeros(n, bool)
     if scatter <= 0:
         return found
-    curve = unrolled(np.concatenate([before, values, after]), rule.period)
-    residual = np.zeros(len(curve))
-    residual[:] = wrap(curve - running_median(curve), rule.period)
+    curve = np.concatenate([before, values, after])
+    residual = _residuals(curve, rule.period)
     seasonal = residual[lead : lead + n] - profile[(times // HOUR_US % 24).astype(int)]
     candidate = np.flatnonzero(np.abs(seasonal) > cut) + lead
     need = settings.margin * settings.least * scatter
@@ -186,7 +208,7 @@ def spike_mask(values: np.ndarray, times: np.ndarray, rule: Rules, settings: Set
                     e = s + run
                     if s < 3 or e + 3 > len(curve):
                         continue
-                    low, high = _level(curve, s - width, s), _level(curve, e, e + width)
+                    low, high = _level(curve, s - width, s, rule.period), _level(curve, e, e + width, rule.period)
                     part = curve[s:e]
                     off = min(np.abs(wrap(part - low, rule.period)).min(), np.abs(wrap(part - high, rule.period)).min())
                     near = max(abs(float(wrap(np.array(curve[s - 1] - low), rule.period))), abs(float(wrap(np.array(curve[e] - high), rule.period))))
