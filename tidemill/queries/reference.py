@@ -253,6 +253,10 @@ _FOLDER_SQL: dict[str, tuple[str, str]] = {
         "SELECT a.event_type, COUNT(*) AS n FROM points a JOIN points b ON a.event_type = b.event_type AND a.ts = b.ts WHERE a.ts < TIMESTAMP '2024-01-10' GROUP BY a.event_type",
         f"SELECT event_type, count(*) AS n FROM {_EVENTS} WHERE ts < TIMESTAMP '2024-01-10' GROUP BY event_type",
     ),
+    "ts_self_join_whole": (
+        "SELECT a.event_type, COUNT(*) AS n FROM points a JOIN points b ON a.event_type = b.event_type AND a.ts = b.ts GROUP BY a.event_type",
+        f"WITH e AS (SELECT * FROM {_EVENTS}) SELECT a.event_type, count(*) AS n FROM e a JOIN e b ON a.event_type = b.event_type AND a.ts = b.ts GROUP BY a.event_type",
+    ),
     "metadata_tables": ("SELECT table_name, column_name, error_bound_is_relative AS is_relative FROM metadata.time_series_table_field_columns WHERE table_name = 'lossy'", "SELECT * FROM (VALUES ('lossy', 'near', false), ('lossy', 'part', true)) t(table_name, column_name, is_relative)"),
 }
 
