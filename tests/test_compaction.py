@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.operators import compaction
 from tidemill.operators.compaction import canonical_location, compact, compacted_records, manifest, plan_compaction
 
 FILES = "file_id bigint, location string, table_name string, field_column smallint, file_name string, size_bytes bigint, row_count bigint, modified timestamp_ntz, removed_at timestamp_ntz"
@@ -72,3 +73,25 @@ def test_every_record_of_a_live_file_is_there_once(spark, tmp_path):
 
 def test_empty_listing(spark):
     assert plan_compaction(spark.createDataFrame([], FILES)).count() == 0
+
+
+def test_records_without_id_are_all_kept(spark, tmp_path):
+    files = spark.createDataFrame([file(1), file(2), file(3, size=50_000), file(5, table="u"), file(6, table="u")], FILES)
+    rows = [(1, 0, None, 1.0), (1, 1, None, 1.0), (1, 1, None, 1.0), (2, 0, None, 1.0), (2, None, None, 2.0), (2, None, None, 2.0), (2, 1, 10, 3.0), (3, 0, None, 4.0), (5, 0, 10, 3.0), (6, 0, None, None)]
+    records = spark.createDataFrame(rows, RECORDS)
+    plan = plan_compaction(files)
+    found = sorted(compacted_records(plan, records).select("file_id", F.coalesce("row_index", F.lit(-1)), F.coalesce("record_id", F.lit(-1))).collect())
+    assert found == [(1, 0, -1), (1, 1, -1), (2, -1, -1), (2, -1, -1), (2, 0, -1), (2, 1, 10), (3, 0, -1), (6, 0, -1)]
+    assert compacted_records(plan, records.drop("row_index")).count() == 9
+    report = compact(files, records, str(tmp_path / "out")).orderBy("table_name").collect()
+    assert [(r["table_name"], r["records_expected"], r["records_written"]) for r in report] == [("t", 6, 6), ("u", 1, 1)]
+
+
+def test_lost_records_are_noticed(spark, tmp_path, monkeypatch):
+    files = spark.createDataFrame([file(1), file(2)], FILES)
+    records = spark.createDataFrame([(1, 0, 10, 1.0), (1, 1, None, 1.5), (2, 0, 11, 1.5)], RECORDS)
+    whole = compaction.compacted_records
+    for lost in ("record_id IS NULL", "record_id = 11"):
+        monkeypatch.setattr(compaction, "compacted_records", lambda p, r, lost=lost: whole(p, r).where(f"NOT coalesce({lost}, false)"))
+        with pytest.raises(RuntimeError, match="differ"):
+            compact(files, records, str(tmp_path / lost[-2:]))

@@ -82,19 +82,40 @@ def plan_compaction(files: DataFrame, small_bytes: int = SMALL_BYTES, target_byt
     return planned.unionByName(rest)
 
 
+def _held(plan: DataFrame, records: DataFrame, file_key: str, record_key: str) -> DataFrame:
+    """The records of live files with the plan's columns, `__loose` and `__own`: null, or what tells a record without
+    id from others. Loose are records that nothing tells from others."""
+    target = plan.select(F.col("file_id").alias("__file"), "folder", "table_name", "field_column", "group_index")
+    held = records.join(target, records[quoted(file_key)] == target["__file"]).drop("__file")
+    row = F.col("row_index") if "row_index" in records.columns else F.lit(None).cast("int")
+    nameless = F.col(quoted(record_key)).isNull()
+    own = F.when(nameless, F.struct(F.col(quoted(file_key)).alias("file"), row.alias("row")))
+    return held.withColumn("__loose", nameless & row.isNull()).withColumn("__own", own)
+
+
 def compacted_records(plan: DataFrame, records: DataFrame, file_key: str = "file_id", record_key: str = "record_id") -> DataFrame:
     """Every record that a live file holds, once, with the file it belongs to after the rewrite.
 
     Adds `folder`, `table_name`, `field_column`, `group_index` (null: it stays in its file) to the records' columns.
     A record in several live files comes from the one with the smallest id, one that is not rewritten first, so that
     no copy of it is written beside it. Records of files that aren't live, or of no listed file, are left out.
+    Records with a null id are known by their file and `row_index`; where that is null or missing too, all are kept.
     """
-    target = plan.select(F.col("file_id").alias("__file"), "folder", "table_name", "field_column", "group_index")
-    held = records.join(target, records[quoted(file_key)] == target["__file"]).drop("__file")
-    rest = [c for c in held.columns if c != record_key]
-    rank = F.struct(F.col("group_index").isNotNull(), F.col(quoted(file_key)), *([F.col("row_index")] if "row_index" in rest else []))
-    best = held.groupBy(quoted(record_key)).agg(F.min_by(F.struct(*[F.col(quoted(c)) for c in rest]), rank).alias("__row"))
-    return best.select(quoted(record_key), *[F.col("__row")[c].alias(c) for c in rest])
+    held = _held(plan, records, file_key, record_key)
+    rank = [F.col("group_index").isNotNull(), F.col(quoted(file_key)), *([F.col("row_index")] if "row_index" in records.columns else [])]
+    ranked = held.withColumn("__rank", F.row_number().over(Window.partitionBy(quoted(record_key), "__own").orderBy(*rank)))
+    rest = [c for c in held.columns if c not in (record_key, "__loose", "__own")]
+    return ranked.where((F.col("__rank") == 1) | F.col("__loose")).select(quoted(record_key), *[quoted(c) for c in rest])
+
+
+def expected_counts(plan: DataFrame, records: DataFrame, file_key: str = "file_id", record_key: str = "record_id") -> DataFrame:
+    """Distinct records of the source files per consolidated file, `records_expected`: counted from their ids alone,
+    whatever compacted_records gives."""
+    home = F.min(F.struct(F.col("group_index").isNotNull().alias("rewritten"), F.col(quoted(file_key)).alias("file"))).alias("__home")
+    each = _held(plan, records, file_key, record_key).groupBy(quoted(record_key), "__own", "__loose").agg(home, F.count("*").alias("__rows"))
+    counts = each.where("__home.rewritten").groupBy(F.col("__home.file").alias("__file")).agg(F.sum(F.when(F.col("__loose"), F.col("__rows")).otherwise(1)).alias("__records"))
+    group = ["folder", "table_name", "field_column", "group_index"]
+    return counts.join(plan, F.col("__file") == F.col("file_id")).groupBy(*group).agg(F.sum("__records").alias("records_expected"))
 
 
 def compact(files: DataFrame, records: DataFrame, out: str, small_bytes: int = SMALL_BYTES, target_bytes: int = TARGET_BYTES) -> DataFrame:
@@ -102,17 +123,17 @@ def compact(files: DataFrame, records: DataFrame, out: str, small_bytes: int = S
 
     Columns: `folder`, `table_name`, `field_column`, `group_index`, `files`, `records_expected`, `records_written`.
     The manifest is frozen first: files that arrive during the rewrite are left for the next one. Raises RuntimeError
-    if a group's records, counted in what was written, differ from those planned; nothing is removed, so the old
-    files can stay in place until the result has been accepted.
+    if a group's records, counted in what was written, differ from the distinct ones of the source files, which are
+    counted on their own; nothing is removed, so the old files can stay in place until the result has been accepted.
     """
     plan = durable(plan_compaction(files, small_bytes, target_bytes))
     group = ["folder", "table_name", "field_column", "group_index"]
     chosen = compacted_records(plan, records).where(F.col("group_index").isNotNull())
-    expected = durable(chosen)
+    planned = durable(chosen)
     label = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in group[:3]])
-    expected.withColumn("__folder", label).withColumn("__group", F.col("group_index")).repartition("__folder", "__group").write.mode("errorifexists").partitionBy("__folder", "__group").parquet(out)
+    planned.withColumn("__folder", label).withColumn("__group", F.col("group_index")).repartition("__folder", "__group").write.mode("errorifexists").partitionBy("__folder", "__group").parquet(out)
     written = files.sparkSession.read.parquet(out).groupBy(*group).agg(F.count("*").alias("records_written"))
-    wanted = expected.groupBy(*group).agg(F.count("*").alias("records_expected"))
+    wanted = expected_counts(plan, records)
     sources = plan.where("rewrite").groupBy(*group).agg(F.count("*").alias("files"))
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group]
     report = sources.alias("a").join(wanted.alias("b"), on, "full").select(*[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in group], "files", "records_expected")
@@ -121,5 +142,5 @@ def compact(files: DataFrame, records: DataFrame, out: str, small_bytes: int = S
     report = durable(report)
     wrong = report.where("records_expected <> records_written").limit(1).count()
     if wrong:
-        raise RuntimeError(f"the records written to {out} differ from those planned")
+        raise RuntimeError(f"the records written to {out} differ from those of the source files")
     return report
