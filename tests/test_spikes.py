@@ -114,3 +114,16 @@ def test_directions_half_a_turn_off_are_found(spark):
         heading[spikes] += turn
         found = run(spark, t, speed, np.round(heading % 360, 1))
         assert flagged(found, "heading", "spike") == {us(t[i]) for i in spikes}
+
+
+def test_sources_read_slowly_have_a_scatter(spark):
+    for hours, block_hours in ((12, 96), (36, 24), (12, 24)):
+        t, speed, heading = series(1200, 8, step=hours * 3600)
+        spikes = [100, 400, 401, 700, 701, 702, 1150]
+        for i in spikes:
+            speed[i] += 8
+            heading[i] = (heading[i] + 150) % 360
+        speed[900:] += 8
+        found = run(spark, t, speed, heading, block_hours=block_hours)
+        assert flagged(found, "speed", "spike") == flagged(found, "heading", "spike") == {us(t[i]) for i in spikes}
+        assert all(r["scatter"] > 0 for r in found)

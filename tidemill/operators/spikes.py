@@ -20,6 +20,8 @@ from tidemill.runtime import attach, complete_groups, durable, group_starts, str
 EDGE = 16
 #: Bins of the residuals' size, four to a doubling, the first from 2 ** -20.
 BINS = 160
+#: Values that a scatter needs at least; no more than EDGE.
+LEAST = 9
 
 
 @dataclass(frozen=True)
@@ -92,8 +94,25 @@ def _residuals(values: np.ndarray, period: float | None) -> np.ndarray:
     return wrap(values - running_level(values, period), period)
 
 
+def _spread(values: np.ndarray, hours: np.ndarray, period: float | None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Of values and their hours of the day: the scatter about their level, counts of residual sizes, and sums and
+    counts of calm residuals by hour."""
+    away = _residuals(values, period)
+    size = np.abs(away)
+    robust = 1.4826 * float(np.median(size))
+    # The median of coarse readings is a multiple of their resolution; the mean of clipped sizes isn't.
+    scatter = 1.2533 * float(np.mean(np.minimum(size, 6 * robust if robust else np.quantile(size, 0.98))))
+    bins = np.clip(np.floor(4 * (np.log2(np.maximum(size, 2.0**-21)) + 20)), 0, BINS - 1).astype(int)
+    calm = size <= 5 * max(scatter, 1e-9)
+    sums = np.concatenate([np.bincount(hours[calm], weights=away[calm], minlength=24), np.bincount(hours[calm], minlength=24)])
+    return scatter, np.bincount(bins, minlength=BINS).astype(np.int32), sums
+
+
 def _summary(times: np.ndarray, values: list[np.ndarray], rules: list[Rules]) -> dict:
-    """What the rest of a source has to know of a block, per column; a bounded number of bytes."""
+    """What the rest of a source has to know of a block, per column; a bounded number of bytes.
+
+    A block of fewer than LEAST values has no scatter of its own; all its values are at its edges, and their hours follow.
+    """
     out: dict = {}
     for i, (v, rule) in enumerate(zip(values, rules)):
         good = ~np.isnan(v)
@@ -103,27 +122,35 @@ def _summary(times: np.ndarray, values: list[np.ndarray], rules: list[Rules]) ->
         edge = np.flatnonzero(u[1:] != u[:-1]) + 1 if len(u) else np.zeros(0, int)
         head, tail = (int(edge[0]), int(len(u) - edge[-1])) if len(edge) else (len(u), len(u))
         runs = np.array([head, tail, len(u), u[0] if len(u) else np.nan, u[-1] if len(u) else np.nan], float)
-        counts, hours, sizes = np.zeros(BINS, np.int32), np.zeros(48), np.zeros(3)
-        if len(p) >= 9:
-            away = _residuals(p, rule.period)
-            size = np.abs(away)
-            robust = 1.4826 * float(np.median(size))
-            # The median of coarse readings is a multiple of their resolution; the mean of clipped sizes isn't.
-            clipped = 1.2533 * float(np.mean(np.minimum(size, 6 * robust if robust else np.quantile(size, 0.98))))
-            sizes[:] = clipped, len(p), 0
-            bins = np.clip(np.floor(4 * (np.log2(np.maximum(size, 2.0**-21)) + 20)), 0, BINS - 1).astype(int)
-            counts += np.bincount(bins, minlength=BINS).astype(np.int32)
-            hour = (times[good][possible] // HOUR_US % 24).astype(int)
-            calm = size <= 5 * max(sizes[0], 1e-9)
-            hours[:24] = np.bincount(hour[calm], weights=away[calm], minlength=24)
-            hours[24:] = np.bincount(hour[calm], minlength=24)
-        out[f"__c{i}"] = pack(np.concatenate([sizes, runs, hours]))
+        counts, hours, sizes, few = np.zeros(BINS, np.int32), np.zeros(48), np.zeros(3), np.zeros(0)
+        hour = (times[good][possible] // HOUR_US % 24).astype(int)
+        if len(p) >= LEAST:
+            scatter, counts, hours = _spread(p, hour, rule.period)
+            sizes[:] = scatter, len(p), 0
+        else:
+            few = hour.astype(float)
+        out[f"__c{i}"] = pack(np.concatenate([sizes, runs, hours, few]))
         out[f"__h{i}"] = pack(counts)
         out[f"__a{i}"] = pack(p[:EDGE])
         out[f"__z{i}"] = pack(p[-EDGE:])
     return out
 
 
+def _joined(stats: list[np.ndarray], edges: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Values, and their hours, of neighbouring blocks that are too small for a scatter; only where they are enough
+    together. A block without values parts nothing."""
+    out, held, hours = [], [], []
+    for s, values in [*zip(stats, edges), (None, None)]:
+        if s is not None and s[1] == 0:
+            held.append(values)
+            hours.append(s[56:].astype(int))
+            continue
+        if sum(map(len, held)) >= LEAST:
+            out.append((np.concatenate(held), np.concatenate(hours)))
+        held, hours = [], []
+    return out
+
+
 def tail_cutoff(counts: np.ndarray, scatter: float, risk: float, cap: float) -> float:
     """The size that an ordinary residual exceeds with probability `risk`, by peaks over threshold.
 
@@ -154,8 +181,10 @@ def tail_cutoff(counts: np.ndarray, scatter: float, risk: float, cap: float) ->
 def _carried(rows: list[dict], i: int, rule: Rules, settings: Settings) -> list[dict]:
     """For each block of one source, in order: the cutoffs of the source and what surrounds the block."""
     stats = [unpack(r[f"__c{i}"], np.float64) for r in rows]
-    weight = np.array([s[1] for s in stats])
-    scatters = np.array([s[0] for s in stats])
+    head, tail = [unpack(r[f"__a{i}"], np.float64) for r in rows], [unpack(r[f"__z{i}"], np.float64) for r in rows]
+    joined = [(len(v), *_spread(v, h, rule.period)) for v, h in _joined(stats, head)]
+    weight = np.array([s[1] for s in stats] + [j[0] for j in joined])
+    scatters = np.array([s[0] for s in stats] + [j[1] for j in joined])
     order = np.argsort(scatters)
     order = order[weight[order] > 0]
     if len(order):
@@ -163,12 +192,11 @@ def _carried(rows: list[dict], i: int, rule: Rules, settings: Settings) -> list[
         scatter = float(scatters[order][np.searchsorted(part, part[-1] / 2)])
     else:
         scatter = 0.0
-    hours = sum(s[8:] for s in stats)
+    hours = sum(s[8:56] for s in stats) + sum(j[3] for j in joined)
     profile = hours[:24] / np.maximum(hours[24:], 1)
-    counts = sum(np.asarray(unpack(r[f"__h{i}"], np.int32), np.int64) for r in rows)
+    counts = sum(np.asarray(unpack(r[f"__h{i}"], np.int32), np.int64) for r in rows) + sum(j[2].astype(np.int64) for j in joined)
     cut = tail_cutoff(counts, scatter, settings.risk, settings.least * settings.margin)
     n = len(rows)
-    head, tail = [unpack(r[f"__a{i}"], np.float64) for r in rows], [unpack(r[f"__z{i}"], np.float64) for r in rows]
     before, after, left, right = [None] * n, [None] * n, [None] * n, [None] * n
     held, run = np.zeros(0), (np.nan, 0.0)
     for k in range(n):
@@ -231,7 +259,8 @@ def flag_readings(df: DataFrame, keys: Sequence[str], ts: str, columns: Mapping[
 
     Null and NaN are skipped, so values around them are neighbours. Rows equal in key, time and all columns count
     once; ties in time are ordered by value. A null key is a source of its own; rows without time are ignored; an
-    empty table gives no rows. A source with too few values for a scatter has no spikes.
+    empty table gives no rows. A source with fewer than nine possible values has no scatter and no spikes; blocks with
+    fewer are put together with such blocks beside them, so how slowly a source is read doesn't matter.
 
     Method: residuals about the running median, less their mean by hour of the day, per source; a generalised Pareto
     fit to their peaks gives the cutoff at a fixed risk; candidates beyond it are held against the rule above. Blocks
