@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
+import re
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 from tidemill.engine import connect, open_local, open_memory, open_url
 from tidemill.errors import InvalidArgument, InvalidState, Unimplemented
 from tidemill.plans import pushdown, scan
+from tidemill.storage import log as storage_log
+from tidemill.storage.files import Files
 from tidemill.types import Column, ErrorBound, Kind, TimeSeriesTable
 
 DDL = "CREATE TIME SERIES TABLE series(timestamp TIMESTAMP, tag_1 TAG, tag_2 TAG, field_1 FIELD, field_2 FIELD, both FIELD AS (field_1 + field_2))"
@@ -206,21 +211,162 @@ def test_batches_are_written_once(folder, spark):
         assert folder.write("series", points(spark, ROWS[:1]), [f"r:{i}"])
     assert not folder.write("series", points(spark), ["q:1", "r:3"])
     assert folder.frame("series").count() == 24
-    assert any(".snapshot." in n for n, _ in folder.files.list("tables/series/log"))
+    log = folder._log("series")
+    assert any(".snapshot." in n for n, _ in folder.files.list("tables/series/log/0000000000"))
+    # Of a stream only the highest number is kept.
+    assert log.state().streams == {"q": 1, "r": 11} and not log.state().others
 
 
 def test_writers_meet(folder, spark):
     log = folder._log("series")
     version = log.state().version + 1
-    assert folder.files.create(f"tables/series/log/{version:020d}.json", json.dumps({"add": [], "batches": ["other"]}))
+    assert folder.files.create(log._path(version), json.dumps({"add": [], "batches": ["other"]}))
     assert folder.write("series", points(spark), ["mine"])
-    assert log.state().batches == {"other", "mine"} and log.state().version == version + 1
+    assert log.state().others == {"other", "mine"} and log.state().version == version + 1
     commits = log.state().commits
     folder.truncate("series")
     with pytest.raises(InvalidState):
         folder._append_segments(folder.table("series"), folder.segments("series"), replace=commits)
 
 
+def test_a_stalled_writer_loses_no_commit(folder, spark, monkeypatch):
+    """A version is there whole or not at all, however long its writer takes; what was reported as done stays."""
+    log = folder._log("series")
+    held = threading.Event()
+    write = Files._write
+
+    def slow(self, path, text):
+        write(self, path, text)
+        if "stalled" in text:
+            held.wait(60)
+
+    monkeypatch.setattr(Files, "_write", slow)
+    before = log.state()
+    done = []
+    other = threading.Thread(target=lambda: done.append(log.commit(lambda s: {"add": [], "batches": ["stalled"]})))
+    other.start()
+    for i in range(9):
+        log.commit(lambda s, i=i: {"add": [f"c{i}"]})
+    assert log.state().commits == before.commits + [f"c{i}" for i in range(9)] and not log.state().others
+    held.set()
+    other.join()
+    assert log.state().others == {"stalled"} and log.state().version == before.version + 10
+    assert log.state().commits == before.commits + [f"c{i}" for i in range(9)]
+
+
+def test_many_writers_lose_no_commit(folder):
+    log = folder._log("series")
+    before = log.state()
+    threads = [threading.Thread(target=lambda i=i: [log.commit(lambda s, k=k: {"add": [f"w{i}-{k}"]}) for k in range(4)]) for i in range(5)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    after = log.state()
+    assert len(after.commits) == len(set(after.commits)) == len(before.commits) + 20 and after.version == before.version + 20
+    assert not [n for n, _ in folder.files.list("tables/series/log/0000000000") if n.endswith(".part")]
+
+
+def test_log_goes_on_over_folders(folder, monkeypatch):
+    monkeypatch.setattr(storage_log, "FOLDER_VERSIONS", 20)
+    folder.files.delete("tables/series")
+    log = folder._log("series")
+    for i in range(45):
+        log.commit(lambda s, i=i: {"add": [f"c{i}"]})
+    # Without the snapshots of the newest folder, the one before it is read too.
+    for n in (40,):
+        folder.files.delete(log._path(n, "snapshot.json"))
+    assert log.state().commits == [f"c{i}" for i in range(45)]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_only_files_of_the_asked_times_are_opened(spark, few, monkeypatch):
+    monkeypatch.setattr(storage_log, "DRIVER_FILES", 20_000 if few else 3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    week = 7 * 86_400
+    with open_memory(spark) as folder:
+        folder.sql("CREATE TIME SERIES TABLE s(t TIMESTAMP, k TAG, a FIELD, b FIELD)")
+        # 30 weeks in one commit, a day in another.
+        rows = spark.range(30 * 7 * 24).select(F.timestamp_seconds(F.col("id") * 3600).cast("timestamp_ntz"), F.concat(F.lit("k"), F.col("id") % 3), F.col("id").cast("float"), (-F.col("id")).cast("float"))
+        folder.write("s", rows)
+        folder.write("s", rows.where("id < 24"))
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        log, schema = folder._log("s"), folder.table("s").segment_schema
+        whole = folder.segments("s").inputFiles()
+        assert len(whole) == sum(n["files"] for n in log.state().notes.values())
+        start, end = (20 * week + 3600) * 1_000_000, (20 * week + 7200) * 1_000_000
+        some = log.segments(schema, None, (start, end)).inputFiles()
+        spans = {r["f"]: (r["a"], r["b"]) for r in folder.segments("s").groupBy(F.input_file_name().alias("f")).agg(F.min("start_us").alias("a"), F.max("end_us").alias("b")).collect()}
+        assert sorted(some) == sorted(f for f, (a, b) in spans.items() if a <= end and b >= start) and len(some) < len(whole) / 2
+        assert set(log.segments(schema, [2], (start, end)).inputFiles()) == {f for f in some if "field_column=2" in f}
+        high = log.segments(schema, [2], (None, None), (5000.0, None)).inputFiles()
+        assert 0 < len(high) < len(whole) / 2
+        at = "TIMESTAMP '1970-05-21 01:00:00' AND TIMESTAMP '1970-05-21 02:00:00'"
+        for columns, files in (("a", 1), ("a, b", 2)):
+            found = folder.sql(f"SELECT {columns} FROM s WHERE t BETWEEN {at}")
+            assert len(found.inputFiles()) <= 2 * files and [r["a"] for r in found.orderBy("a").collect()] == [3361.0, 3362.0]
+        assert folder.sql(f"SELECT COUNT(a) AS n FROM s WHERE t >= {at.replace('AND', 'AND t <=')}").first()["n"] == 2
+        assert [r["a"] for r in folder.sql("SELECT a FROM s WHERE a > 5037.5").collect()] == [5038.0, 5039.0]
+
+
+def test_threads_and_folders_with_tables_of_one_name(folder, spark):
+    spark.createDataFrame([(1,)], "x int").createOrReplaceTempView("series")
+    with open_memory(spark) as other:
+        other.sql(DDL)
+        other.write("series", points(spark, ROWS[:1]))
+        counts: dict[str, list] = {"a": [], "b": []}
+
+        def ask(f, name):
+            for _ in range(4):
+                counts[name].append(f.sql("SELECT field_1 FROM series WHERE timestamp >= TIMESTAMP '1970-01-01 00:00:00'").count())
+
+        threads = [threading.Thread(target=ask, args=x) for x in ((folder, "a"), (other, "b"), (folder, "a"))]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+        assert counts == {"a": [6] * 8, "b": [1] * 4}
+    # The session's own view is there again.
+    assert spark.table("series").columns == ["x"]
+    spark.catalog.dropTempView("series")
+
+
+def test_insert_runs_its_query_once(spark):
+    with open_memory(spark) as folder:
+        folder.sql("CREATE TABLE plain(x DOUBLE)")
+        folder.sql("CREATE TIME SERIES TABLE s(t TIMESTAMP, a FIELD, b FIELD)")
+        n = folder.sql("INSERT INTO plain SELECT rand() AS x FROM range(2000) WHERE rand() < 0.5").first()["count"]
+        assert n == folder.frame("plain").count()
+        n = folder.sql("INSERT INTO s SELECT timestamp_seconds(id), rand(), 1 FROM range(2000) WHERE rand() < 0.5").first()["count"]
+        assert n == folder.frame("s").count() == folder.sql("SELECT COUNT(b) AS n FROM s").first()["n"]
+
+
+def test_random_queries_with_and_without_pruning(spark):
+    rng = random.Random(11)
+    with open_memory(spark) as folder:
+        folder.sql("CREATE TIME SERIES TABLE w(ts TIMESTAMP, k TAG, v FIELD, u FIELD)")
+        rows = spark.range(6000).select(F.timestamp_seconds(F.col("id") * 600).cast("timestamp_ntz").alias("ts"), F.concat(F.lit("k"), F.col("id") % 2).alias("k"), F.col("id").cast("float").alias("v"), (F.col("id") % 97).cast("float").alias("u"))
+        folder.write("w", rows)
+        rows.createOrReplaceTempView("plain_w")
+
+        def cond(alias=""):
+            day, value = rng.randint(1, 40), rng.randint(0, 6000)
+            moment = f"TIMESTAMP_NTZ '{dt.datetime(1970, 1, 1) + dt.timedelta(days=day)}'"
+            return rng.choice([f"{alias}ts >= {moment}", f"{moment} > {alias}ts", f"{alias}v > {value}", f"{value} >= {alias}v", f"{alias}v < (SELECT AVG(v) FROM w)", f"{alias}ts > (SELECT MIN(ts) FROM w WHERE v > {value})", f"EXISTS (SELECT 1 FROM w WHERE v > {value} AND ts < {moment})", f"{alias}v IN (SELECT v FROM w WHERE u = {value % 97})"])
+
+        shapes = [
+            lambda: f"SELECT count(*) AS n, sum(v) AS s FROM w WHERE {cond()} AND {cond()}",
+            lambda: f"SELECT count(*) AS n, sum(v) AS s FROM w WHERE {cond()} OR {cond()}",
+            lambda: f"WITH a AS (SELECT * FROM w WHERE {cond()}), b AS (SELECT * FROM w WHERE {cond()}) SELECT count(*) AS n, sum(a.v) AS s FROM a JOIN b ON a.ts = b.ts WHERE {cond('a.')}",
+            lambda: f"SELECT count(*) AS n, sum(v) AS s FROM (SELECT v, ts FROM w WHERE {cond()} UNION ALL SELECT u, ts FROM w WHERE {cond()}) x",
+            lambda: f"SELECT (SELECT MAX(v) FROM w WHERE {cond()}) AS n, sum(a.u) AS s FROM w a LEFT JOIN w b ON a.v = b.v AND {cond('b.')} WHERE {cond('a.')}",
+        ]
+        for i in range(15):
+            sql = shapes[i % len(shapes)]()
+            want = spark.sql(re.sub(r"\bw\b", "plain_w", sql)).first()
+            assert tuple(folder.sql(sql).first()) == tuple(want), sql
+
+
 def test_truncate_vacuum_drop(folder, spark):
     folder.sql("TRUNCATE series")
     assert folder.frame("series").count() == 0 and folder.vacuum("series") == 0
@@ -259,6 +405,10 @@ def test_include_and_metadata(folder, spark):
         other.sql(DDL)
         other.write("series", points(spark, ROWS[:2]))
         assert folder.sql(f"INCLUDE '{other.url}' SELECT timestamp FROM series").count() == 8
+    with open_url(spark, "memory://near") as near:
+        near.sql(DDL)
+        near.write("series", points(spark, ROWS[:3]))
+        assert folder.sql("INCLUDE 'memory://near' SELECT timestamp FROM series").count() == 9
     assert rows_of(folder.sql("SELECT column_name FROM metadata.time_series_table_field_columns WHERE generated_column_expr IS NULL")) == [("field_1",), ("field_2",)]
     assert folder.sql("SELECT * FROM metadata.normal_table_metadata").count() == 0
     assert "ArrowEvalPython" in folder.sql("EXPLAIN SELECT field_1 FROM series").first()["plan"]

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import json
-import shutil
-import tempfile
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from datetime import datetime
 
@@ -16,7 +15,7 @@ from tidemill import dialect
 from tidemill.errors import InvalidArgument, InvalidState, Unimplemented
 from tidemill.functions import shims
 from tidemill.plans import ingest, pushdown, scan
-from tidemill.runtime import quoted, ship
+from tidemill.runtime import quoted, shared_dir, ship
 from tidemill.storage.files import Files
 from tidemill.storage.log import TableLog
 from tidemill.types import NormalTable, TimeSeriesTable
@@ -28,7 +27,9 @@ _keywords: dict[str, frozenset[str]] = {}
 def keywords(spark: SparkSession) -> frozenset[str]:
     """Words that can't be table names."""
     if "all" not in _keywords:
-        _keywords["all"] = frozenset(r["keyword"] for r in spark.sql("SELECT keyword FROM sql_keywords()").collect())
+        # The list that `sql_keywords()` gives; as a query it takes seconds to compile.
+        words = spark._jvm.org.apache.spark.sql.catalyst.util.SQLKeywordUtils.keywords().mkString("\n")
+        _keywords["all"] = frozenset(words.split("\n"))
     return _keywords["all"]
 
 
@@ -53,7 +54,7 @@ class DataFolder:
     def close(self) -> None:
         """Remove a folder in memory; others stay."""
         if self._temporary:
-            shutil.rmtree(self.url, ignore_errors=True)
+            self.files.delete("")
 
     def type(self) -> str:
         return "DataFolder"
@@ -85,9 +86,8 @@ class DataFolder:
     def create(self, table: Table) -> None:
         """Create an empty table."""
         if isinstance(table, TimeSeriesTable):
-            empty = self.spark.createDataFrame([], table.schema)
             for g in table.generated:
-                scan.sources(empty, table, g.expression or "")
+                scan.sources(self.spark, table, g.expression or "")
         else:
             _check_types(table.schema)
         if not self.files.create(f"metadata/{table.name}.json", json.dumps(table.to_json())):
@@ -121,23 +121,64 @@ class DataFolder:
         Columns are taken by position and must have the table's types. For a time series table the generated columns
         may be there, in their places, or not. Nulls are refused in columns that can't hold them.
         """
-        table = self.table(name)
+        return self._write(self.table(name), rows, batches) is not None
+
+    def _write(self, table: Table, rows: DataFrame, batches: Iterable[str] = ()) -> str | None:
+        """The commit that was made."""
+        rows = self._stored(table, rows)
         if isinstance(table, NormalTable):
-            rows = conform(rows, table.schema)
             return self._log(table.name).append(lambda url: rows.write.option("compression", "zstd").parquet(url), batches)
-        if len(rows.columns) == len(table.columns) != len(table.stored):
+        return self._append_segments(table, ingest.to_segments(rows, table), batches)
+
+    def _stored(self, table: Table, rows: DataFrame) -> DataFrame:
+        if isinstance(table, TimeSeriesTable) and len(rows.columns) == len(table.columns) != len(table.stored):
             rows = rows.toDF(*[c.name for c in table.columns]).select(*[quoted(c.name) for c in table.stored])
-        rows = conform(rows, table.schema)
-        segments = ingest.to_segments(rows, table)
-        return self._append_segments(table, segments, batches)
+        return conform(rows, table.schema)
 
-    def _append_segments(self, table: TimeSeriesTable, segments: DataFrame, batches: Iterable[str] = (), replace: Sequence[str] | None = None) -> bool:
+    def _append_segments(self, table: TimeSeriesTable, segments: DataFrame, batches: Iterable[str] = (), replace: Sequence[str] | None = None, rest: DataFrame | None = None) -> str | None:
         order = ["field_column", *(quoted(t) for t in table.tags), "start_us"]
 
         def write(url: str) -> None:
             segments.sortWithinPartitions(*order).write.option("compression", "zstd").partitionBy("field_column").parquet(url)
 
-        return self._log(table.name).append(write, batches, replace)
+        stage = None if rest is None else lambda url: rest.write.option("compression", "zstd").parquet(url)
+        return self._log(table.name).append(write, batches, replace, segments=True, stage=stage)
+
+    def hold(self, name: str, rows: DataFrame, batches: Iterable[str] = ()) -> bool:
+        """Keep rows of a time series table for a later `flush`, in one commit; queries don't see them until then.
+
+        For rows that come in many small batches, which would make a segment per batch and series otherwise.
+        """
+        table = self._time_series(name)
+        rows = self._stored(table, rows)
+        return self._log(table.name).append(lambda url: rows.write.option("compression", "zstd").parquet(url), batches, waiting=True) is not None
+
+    def held(self, name: str) -> int:
+        """How many rows wait for a flush."""
+        state = self._log(self._time_series(name).name).state()
+        return sum(state.notes[c]["rows"] for c in state.staged)
+
+    def flush(self, name: str, least: int = 1) -> bool:
+        """Compress the rows that wait, of series with at least `least` of them; the others go on waiting.
+
+        One commit adds the segments and replaces what waited, so rows are neither lost nor there twice. False if
+        there was nothing to do.
+        """
+        table = self._time_series(name)
+        log = self._log(table.name)
+        state = log.state()
+        if not state.staged:
+            return False
+        rows = log.staged(table.schema, state)
+        rest = None
+        if least > 1:
+            counts = rows.groupBy(*[F.col(quoted(t)).alias(f"__{i}") for i, t in enumerate(table.tags)]).agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
+            if not counts.take(1):
+                return False
+            if table.tags:
+                same = [F.col(quoted(t)) == F.col(f"__{i}") for i, t in enumerate(table.tags)]
+                rows, rest = rows.join(counts, same, "left_semi"), rows.join(counts, same, "left_anti")
+        return self._append_segments(table, ingest.to_segments(rows, table), replace=state.staged, rest=rest) is not None
 
     def optimize(self, name: str) -> None:
         """Merge a time series table's commits to one.
@@ -155,15 +196,23 @@ class DataFolder:
             points = scan.points(segments, table, [f.name for f in table.fields])
             segments = ingest.to_segments(points.select(*[quoted(c) for c in table.schema.fieldNames()]), table)
         else:
-            # By series and month: a large series is spread, and a small one has few files.
-            month = F.floor(F.col("start_us") / (30 * 86_400_000_000))
-            segments = segments.repartition("field_column", *[F.col(quoted(t)) for t in table.tags], month)
+            # By block of time, then series: files of few blocks, and a large series is spread.
+            block = F.floor(F.col("start_us") / (scan.BLOCK_DAYS * 86_400_000_000))
+            segments = segments.repartitionByRange("field_column", block, *[F.col(quoted(t)) for t in table.tags])
         self._append_segments(table, segments, replace=commits)
 
-    def segments(self, table: TimeSeriesTable | str) -> DataFrame:
-        """The segments of a time series table, as they are stored."""
+    def segments(self, table: TimeSeriesTable | str, fields: Sequence[int] | None = None, time_range: scan.Range = (None, None), value_range: scan.Values = (None, None), commits: Sequence[str] | None = None) -> DataFrame:
+        """The segments of a time series table, as they are stored; without files that have none of some fields, times
+        or values."""
         table = self._time_series(table) if isinstance(table, str) else table
-        return self._log(table.name).read(table.segment_schema, True)
+        start, end = (None if t is None else scan.micros(t) for t in time_range)
+        return self._log(table.name).segments(table.segment_schema, fields, (start, end), value_range, commits)
+
+    def _source(self, table: TimeSeriesTable, tags: Mapping[str, str] | None = None) -> scan.Source:
+        def chosen(fields: Sequence[int], times: scan.Range, values: scan.Values) -> DataFrame:
+            return _with_tags(self.segments(table, fields, times, values), tags)
+
+        return chosen
 
     def segment_stats(self, name: str) -> DataFrame:
         """Per field and model: segments, points, those with residuals, regular ones and bytes of payload."""
@@ -199,9 +248,9 @@ class DataFolder:
         """
         table = self.table(name)
         if isinstance(table, NormalTable):
-            rows = self._log(table.name).read(table.schema, False)
+            rows = self._log(table.name).read(table.schema)
             return rows if columns is None else rows.select(*[quoted(c) for c in columns])
-        return scan.view(self.segments(table), table, columns, time_range, value_range)
+        return scan.view(self.spark, self._source(table), table, columns, time_range, value_range)
 
     def read(self, sql: str) -> DataFrame:
         """The result of a query."""
@@ -268,14 +317,14 @@ class DataFolder:
         # Literals and expressions have types of their own; INSERT converts them where no value can be lost in kind.
         plain = rows.toDF(*[f"__c{i}" for i in range(len(wanted))])
         rows = plain.select(*[F.col(f"__c{i}").cast(f.dataType).alias(f.name) for i, f in enumerate(wanted.fields)])
-        count = rows.count()
-        self.write(name, rows)
-        return self.spark.createDataFrame([(count,)], "count bigint")
+        # The query runs once; its rows are counted where they have been written.
+        commit = self._write(table, rows)
+        return self.spark.createDataFrame([(self._log(table.name).rows(commit or ""),)], "count bigint")
 
     def _include(self, statement: dialect.Include) -> DataFrame:
         result = pushdown.query(self, statement.sql)
         for address in statement.addresses:
-            result = result.union(pushdown.query(DataFolder(self.spark, address), statement.sql))
+            result = result.union(pushdown.query(open_url(self.spark, address), statement.sql))
         return result
 
     def read_time_series_table(
@@ -310,10 +359,10 @@ class DataFolder:
             raise InvalidArgument("Grouping needs an aggregate.")
         stored = {f.name for f in table.fields}
         if aggregates and set(plain) <= set(group_by) <= set(table.tags) and all(c in stored for _, c, _ in aggregates):
-            result = scan.aggregate(self.segments(table), table, aggregates, group_by, (start, end), tags)
+            result = scan.aggregate(self.segments(table, None, (start, end)), table, aggregates, group_by, (start, end), tags)
             return result.select(*[quoted(c) for c in plain], *[quoted(n) for _, _, n in aggregates])
         needed = list(dict.fromkeys([*chosen, *group_by, *(tags or {})])) or None
-        rows = scan.view(self._tagged(table, tags), table, needed, (start, end))
+        rows = scan.view(self.spark, self._source(table, tags), table, needed, (start, end))
         for tag, value in (tags or {}).items():
             rows = rows.where(F.col(quoted(tag)) == F.lit(value))
         if not aggregates:
@@ -324,12 +373,6 @@ class DataFolder:
         result = rows.groupBy(*[quoted(g) for g in group_by]).agg(*[functions[f](quoted(c)).alias(n) for f, c, n in aggregates])
         return result.select(*[quoted(c) for c in plain], *[quoted(n) for _, _, n in aggregates])
 
-    def _tagged(self, table: TimeSeriesTable, tags: Mapping[str, str] | None) -> DataFrame:
-        segments = self.segments(table)
-        for tag, value in (tags or {}).items():
-            segments = segments.where(F.col(quoted(tag)) == F.lit(value))
-        return segments
-
     # Copying and moving
 
     def copy(self, sql: str, target: DataFolder, name: str) -> None:
@@ -348,7 +391,7 @@ class DataFolder:
         """
         table, other = self._time_series(name), target._time_series(target_name)
         _same_columns(table, other)
-        segments = self._tagged(table, tags)
+        segments = _with_tags(self.segments(table, None, scan.widened((start, end))), tags)
         # All of a chunk's fields must go together.
         if start is not None or end is not None:
             spans = segments.groupBy("chunk").agg(F.min("start_us").alias("__a"), F.max("end_us").alias("__b"))
@@ -366,16 +409,21 @@ class DataFolder:
         table, other = self.table(name), target.table(target_name)
         if type(table) is not type(other):
             raise InvalidArgument(f"Tables '{name}' and '{target_name}' are not of the same kind.")
-        state = self._log(table.name).state()
-        if not state.commits:
-            return
         if isinstance(table, TimeSeriesTable):
+            self.flush(name)
+        commits = self._log(table.name).state().commits
+        # What an interrupted move has brought over before isn't moved again, whatever came since.
+        arrived = target._log(other.name).state()
+        open_ = [c for c in commits if not arrived.committed(f"move-{c}")]
+        if open_ and isinstance(table, TimeSeriesTable):
             _same_columns(table, other)
-            target._append_segments(other, self.segments(table).toDF(*other.segment_schema.fieldNames()), [f"move-{c}" for c in state.commits])
-        else:
-            target.write(target_name, self.frame(name), [f"move-{c}" for c in state.commits])
+            rows = self.segments(table, commits=open_).toDF(*other.segment_schema.fieldNames())
+            target._append_segments(other, rows, [f"move-{c}" for c in open_])
+        elif open_:
+            rows = self._log(table.name).read(table.schema, open_)
+            target.write(target_name, rows, [f"move-{c}" for c in open_])
         # Rows that came since then stay here.
-        moved = set(state.commits)
+        moved = set(commits)
         self._log(table.name).commit(lambda s: {"remove": [c for c in s.commits if c in moved]} if moved & set(s.commits) else None)
 
     # Views for SQL
@@ -395,6 +443,12 @@ class DataFolder:
         raise InvalidArgument(f"Table with name 'metadata.{name}' does not exist.")
 
 
+def _with_tags(segments: DataFrame, tags: Mapping[str, str] | None) -> DataFrame:
+    for tag, value in (tags or {}).items():
+        segments = segments.where(F.col(quoted(tag)) == F.lit(value))
+    return segments
+
+
 def _of_chunks(segments: DataFrame, chunks: DataFrame) -> DataFrame:
     """Segments of the given chunks."""
     return segments.join(chunks.select(F.col("chunk").alias("__chunk")), F.col("chunk") == F.col("__chunk"), "left_semi")
@@ -437,9 +491,11 @@ def open_local(spark: SparkSession, path: str) -> DataFolder:
     return DataFolder(spark, path)
 
 
-def open_memory(spark: SparkSession) -> DataFolder:
-    """A folder that is removed when it is closed."""
-    return DataFolder(spark, tempfile.mkdtemp(prefix="tidemill-folder-"), temporary=True)
+def open_memory(spark: SparkSession, name: str | None = None) -> DataFolder:
+    """A folder that is removed when it is closed. It is kept where all executors see it; `memory://name` is one that
+    is open under that name in this application."""
+    home = f"{shared_dir(spark)}/memory-{spark.sparkContext.applicationId}-{name or uuid.uuid4().hex}"
+    return DataFolder(spark, home, temporary=True)
 
 
 def open_s3(spark: SparkSession, endpoint: str, bucket: str, access_key: str, secret_key: str) -> DataFolder:
@@ -463,7 +519,7 @@ def open_url(spark: SparkSession, url: str, **options: str) -> DataFolder:
         return open_local(spark, url if found else url)
     match scheme.lower():
         case "memory":
-            return open_memory(spark)
+            return open_memory(spark, rest.strip("/") or None)
         case "s3":
             return open_s3(spark, bucket=rest.strip("/"), **options)
         case "azureblobstorage":

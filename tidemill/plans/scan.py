@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,17 @@ from tidemill.types import TimeSeriesTable
 _PARTS = ["model_type", "start_us", "n_points", "model_points", "interval_us", "times", "first_value", "last_value", "residuals"]
 Range = tuple[datetime | int | None, datetime | int | None]
 Values = tuple[float | None, float | None]
+#: Segments as they are, or those of fields, times and values that a table gives.
+Source = DataFrame | Callable[[Sequence[int], Range, Values], DataFrame]
+#: Days of a block, counted from 1970-01-01; all of a chunk lies in one. Files of tables depend on it.
+BLOCK_DAYS = 7
+
+
+def widened(times: Range) -> Range:
+    """The times of all blocks that a range touches: a chunk with a point in the range lies in these."""
+    width = BLOCK_DAYS * 86_400_000_000
+    start, end = times
+    return None if start is None else micros(start) // width * width, None if end is None else (micros(end) // width + 1) * width - 1
 
 
 def micros_literal(value: datetime | int) -> Column:
@@ -65,7 +76,7 @@ def _lists(times: list[np.ndarray], values: list[list[np.ndarray]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), points)
 
 
-def points(segments: DataFrame, table: TimeSeriesTable, fields: Sequence[str], time_range: Range = (None, None), value_range: Values = (None, None)) -> DataFrame:
+def points(segments: Source, table: TimeSeriesTable, fields: Sequence[str], time_range: Range = (None, None), value_range: Values = (None, None)) -> DataFrame:
     """The points of some stored fields: the timestamp, the tags and the fields, generated ones not included.
 
     Without a field, the first stored one is read for its times. One field is decoded segment by segment, without a
@@ -75,6 +86,9 @@ def points(segments: DataFrame, table: TimeSeriesTable, fields: Sequence[str], t
     """
     wanted = list(fields) or [table.fields[0].name]
     number = [table.index(f) for f in wanted]
+    if not isinstance(segments, DataFrame):
+        # Several fields need all of a chunk.
+        segments = segments(number, time_range if len(number) == 1 else widened(time_range), value_range if fields and len(number) == 1 else (None, None))
     chosen = segments.where(F.col("field_column").isin(number) if len(number) > 1 else F.col("field_column") == number[0])
     tags = [quoted(t) for t in table.tags]
     time = quoted(table.timestamp)
@@ -99,6 +113,7 @@ def points(segments: DataFrame, table: TimeSeriesTable, fields: Sequence[str], t
     else:
         # A chunk is needed as a whole, and its segments differ by field: chunks are kept if any segment is in range.
         if time_range != (None, None):
+            chosen = in_time(chosen, *widened(time_range))
             near = in_time(chosen.where(F.col("field_column") == number[0]), *time_range).select(F.col("chunk").alias("__chunk")).distinct()
             chosen = chosen.join(near, F.col("chunk") == F.col("__chunk"), "left_semi")
         part = F.struct("field_column", "first_point", *_PARTS)
@@ -133,7 +148,7 @@ def points(segments: DataFrame, table: TimeSeriesTable, fields: Sequence[str], t
     return rows.select(*names, *tags) if fields else rows.select(time, *tags)
 
 
-def view(segments: DataFrame, table: TimeSeriesTable, columns: Sequence[str] | None = None, time_range: Range = (None, None), value_range: Values = (None, None)) -> DataFrame:
+def view(spark: SparkSession, segments: Source, table: TimeSeriesTable, columns: Sequence[str] | None = None, time_range: Range = (None, None), value_range: Values = (None, None)) -> DataFrame:
     """The table as it is read: the given columns (None: all) in their order, generated ones computed."""
     wanted = [c.name for c in table.columns] if columns is None else list(columns)
     known = {c.name: c for c in table.columns}
@@ -141,16 +156,16 @@ def view(segments: DataFrame, table: TimeSeriesTable, columns: Sequence[str] | N
     stored = [f.name for f in table.fields]
     needed = {c for c in wanted if c in stored}
     for g in generated:
-        needed |= set(sources(segments, table, g.expression))
+        needed |= set(sources(spark, table, g.expression))
     rows = points(segments, table, [f for f in stored if f in needed], time_range, value_range)
     for g in generated:
         rows = rows.withColumn(g.name, F.expr(g.expression).cast("float"))
     return rows.select(*[quoted(c) for c in wanted])
 
 
-def sources(segments: DataFrame, table: TimeSeriesTable, expression: str) -> list[str]:
+def sources(spark: SparkSession, table: TimeSeriesTable, expression: str) -> list[str]:
     """The stored fields that an expression uses."""
-    empty = segments.sparkSession.createDataFrame([], table.schema)
+    empty = spark.createDataFrame([], table.schema)
     try:
         analysed = empty.select(F.expr(expression).cast("float").alias("x"))
         used = {a.name() for a in _references(analysed)}

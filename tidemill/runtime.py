@@ -14,12 +14,20 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.errors import InvalidState
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (`spark.checkpoint.dir`); where the session names none, one of our own."""
+    """The folder that all executors share: `spark.checkpoint.dir`, or the context's checkpoint folder.
+
+    Where neither is set, a temporary one is made if everything runs on this machine (tests, a shell); on a cluster
+    executors couldn't see it, so that is an error.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir() or ""
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise InvalidState("Set spark.checkpoint.dir to a folder that all executors share.")
         named = tempfile.mkdtemp(prefix="tidemill-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
@@ -107,6 +115,12 @@ def float64(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return array.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
+def float32(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A float column without nulls."""
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return array.cast(pa.float32()).to_numpy(zero_copy_only=False)
+
+
 def epoch_day(ts: Column) -> Column:
     """Days since 1970-01-01; for timestamps without zone it depends on no session setting."""
     return F.unix_date(F.to_date(ts))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import time
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -52,30 +52,67 @@ class Files:
     def create(self, path: str, text: str) -> bool:
         """Write a new file as a whole; False, and nothing is changed, if there is one of that name.
 
-        The name is claimed first, so of several writers one succeeds; the content comes by a rename, so a reader sees
-        all of it or an empty file.
+        The content goes to a name of its own and is published by one step that fails if the name is taken: a hard
+        link on local disks, a rename without overwriting on HDFS and Azure, a conditional put on S3. So of several
+        writers one succeeds, a reader sees all of the content or no file, and a writer that stops on the way leaves
+        a part that nothing reads.
         """
         target = self._path(path)
         self._fs.mkdirs(target.getParent())
+        if self._fs.getScheme() == "s3a":
+            return self._put(target, text)
+        part = self._path(f"{path}.{uuid.uuid4().hex}.part")
         try:
-            self._fs.create(target, False).close()
+            self._write(part, text)
+            self._publish(part, target)
         except Exception as error:
-            if "exist" in str(error).lower():
+            if _taken(error):
+                return False
+            raise
+        finally:
+            self._fs.delete(part, False)
+        return True
+
+    def _write(self, path: Any, text: str) -> None:
+        stream = self._fs.create(path, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def _publish(self, part: Any, target: Any) -> None:
+        if self._fs.getScheme() == "file":
+            link = self._jvm.java.nio.file.Files.createLink
+            link(self._fs.pathToFile(target).toPath(), self._fs.pathToFile(part).toPath())
+            return
+        options = self._jvm.org.apache.hadoop.fs.Options.Rename
+        none = self.spark.sparkContext._gateway.new_array(options, 1)
+        none[0] = options.NONE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf).rename(part, target, none)
+
+    def _put(self, target: Any, text: str) -> bool:
+        try:
+            stream = self._fs.createFile(target).overwrite(False).must("fs.option.create.conditional.overwrite", True).build()
+            stream.write(bytearray(text.encode()))
+            stream.close()
+        except Exception as error:
+            if _taken(error) or "RemoteFileChanged" in str(error):
                 return False
             raise
-        self.replace(path, text)
         return True
 
     def replace(self, path: str, text: str) -> None:
         """Write a file as a whole, in place of one of that name."""
-        target, part = self._path(path), self._path(f"{path}.{time.time_ns()}.part")
+        target, part = self._path(path), self._path(f"{path}.{uuid.uuid4().hex}.part")
         self._fs.mkdirs(target.getParent())
-        stream = self._fs.create(part, True)
-        stream.write(bytearray(text.encode()))
-        stream.close()
+        self._write(part, text)
         if not self._fs.rename(part, target):
             self._fs.delete(target, False)
             self._fs.rename(part, target)
 
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
+
+
+def _taken(error: Exception) -> bool:
+    return "AlreadyExists" in str(error)
