@@ -219,6 +219,34 @@ _FOLDER_SQL: dict[str, tuple[str, str]] = {
     "ts_time_lt": ("SELECT ts FROM points WHERE ts < TIMESTAMP '2024-01-10 12:00:00'", f"SELECT ts FROM {_EVENTS} WHERE ts < TIMESTAMP '2024-01-10 12:00:00'"),
     "ts_time_le": ("SELECT ts FROM points WHERE ts <= TIMESTAMP '2024-01-10 12:00:00'", f"SELECT ts FROM {_EVENTS} WHERE ts <= TIMESTAMP '2024-01-10 12:00:00'"),
     "ts_time_eq": ("SELECT ts, event_type FROM points WHERE ts = (SELECT min(ts) FROM points)", f"SELECT ts, event_type FROM {_EVENTS} WHERE ts = (SELECT min(ts) FROM events)"),
+    "ts_time_eq_literal": (
+        "SELECT day, status, CAST(total AS BIGINT) AS total FROM daily WHERE day = TIMESTAMP '1995-03-01 00:00:00'",
+        "SELECT o_orderdate AS day, o_orderstatus AS status, count(*) AS total FROM orders WHERE o_orderdate = TIMESTAMP '1995-03-01 00:00:00' AND o_orderstatus IS NOT NULL GROUP BY ALL",
+    ),
+    "ts_sub_scalar": (
+        "SELECT COUNT(*) AS n FROM points WHERE ts >= TIMESTAMP '2024-01-20' AND value > (SELECT AVG(value) FROM points)",
+        f"WITH e AS (SELECT * FROM {_EVENTS}) SELECT count(*) AS n FROM e WHERE ts >= TIMESTAMP '2024-01-20' AND value > (SELECT avg(CAST(value AS DOUBLE)) FROM e)",
+    ),
+    "ts_sub_value": (
+        "SELECT COUNT(*) AS n FROM points WHERE value > 150 AND (SELECT MIN(value) FROM points) < 100",
+        f"WITH e AS (SELECT * FROM {_EVENTS}) SELECT count(*) AS n FROM e WHERE value > 150 AND (SELECT min(value) FROM e) < 100",
+    ),
+    "ts_sub_exists": (
+        "SELECT COUNT(*) AS n FROM points WHERE ts > TIMESTAMP '2024-01-20' AND EXISTS (SELECT 1 FROM points WHERE ts < TIMESTAMP '2024-01-02')",
+        f"WITH e AS (SELECT * FROM {_EVENTS}) SELECT count(*) AS n FROM e WHERE ts > TIMESTAMP '2024-01-20' AND EXISTS (SELECT 1 FROM e WHERE ts < TIMESTAMP '2024-01-02')",
+    ),
+    "ts_sub_select_list": (
+        "SELECT (SELECT MIN(ts) FROM points) AS first, COUNT(*) AS n FROM points WHERE ts > TIMESTAMP '2024-01-20'",
+        f"WITH e AS (SELECT * FROM {_EVENTS}) SELECT (SELECT min(ts) FROM e) AS first, count(*) AS n FROM e WHERE ts > TIMESTAMP '2024-01-20'",
+    ),
+    "ts_sub_cte": (
+        "WITH late AS (SELECT event_type, value FROM points WHERE ts > TIMESTAMP '2024-01-25'), early AS (SELECT event_type, MAX(value) AS top FROM points WHERE ts < TIMESTAMP '2024-01-05' GROUP BY event_type) SELECT event_type, COUNT(*) AS n FROM late JOIN early USING (event_type) WHERE value > top - 5 OR value > (SELECT AVG(value) FROM points) GROUP BY event_type",
+        f"WITH e AS (SELECT * FROM {_EVENTS}), late AS (SELECT event_type, value FROM e WHERE ts > TIMESTAMP '2024-01-25'), early AS (SELECT event_type, max(value) AS top FROM e WHERE ts < TIMESTAMP '2024-01-05' GROUP BY event_type) SELECT event_type, count(*) AS n FROM late JOIN early USING (event_type) WHERE value > CAST(top AS FLOAT) - 5 OR value > (SELECT avg(CAST(value AS DOUBLE)) FROM e) GROUP BY event_type",
+    ),
+    "ts_sub_union": (
+        "SELECT 'late' AS part, COUNT(*) AS n FROM points WHERE ts >= TIMESTAMP '2024-01-29' UNION ALL SELECT 'small', COUNT(*) FROM points WHERE value < 10",
+        f"WITH e AS (SELECT * FROM {_EVENTS}) SELECT 'late' AS part, count(*) AS n FROM e WHERE ts >= TIMESTAMP '2024-01-29' UNION ALL SELECT 'small', count(*) FROM e WHERE value < 10",
+    ),
     "ts_time_between": (
         "SELECT ts, CAST(value AS DOUBLE) AS value FROM points WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06'",
         f"SELECT ts, CAST(value AS DOUBLE) AS value FROM {_EVENTS} WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06'",
@@ -274,7 +302,12 @@ _PLAIN_SQL: dict[str, tuple[str, str | None]] = {
     "join_natural": ("SELECT n_name, r_name FROM nation NATURAL JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region) r", None),
     "join_range": ("SELECT p_size, COUNT(*) AS n FROM (SELECT DISTINCT p_size FROM part) p JOIN nation ON n_nationkey BETWEEN p_size - 1 AND p_size + 1 GROUP BY p_size", None),
     "join_lateral": ("SELECT n_name, top FROM nation, LATERAL (SELECT max(s_acctbal) AS top FROM supplier WHERE s_nationkey = n_nationkey) s", None),
-    "join_unnest": ("SELECT n_nationkey, x FROM nation LATERAL VIEW explode(sequence(1, n_regionkey + 1)) t AS x", "SELECT n_nationkey, CAST(unnest(generate_series(1, n_regionkey + 1)) AS INTEGER) AS x FROM nation"),
+    "join_unnest": ("SELECT n_nationkey, x FROM nation, UNNEST(generate_series(1, n_regionkey + 1)) AS u(x)", "SELECT n_nationkey, unnest(generate_series(1, n_regionkey + 1)) AS x FROM nation"),
+    "join_cross_unnest": ("SELECT n_nationkey, x FROM nation CROSS JOIN UNNEST([n_regionkey, 7]) AS u(x)", "SELECT n_nationkey, unnest([n_regionkey, 7]) AS x FROM nation"),
+    "join_right_semi": ("SELECT c_custkey FROM orders RIGHT SEMI JOIN customer ON o_custkey = c_custkey", "SELECT c_custkey FROM customer SEMI JOIN orders ON o_custkey = c_custkey"),
+    "join_right_anti": ("SELECT c_custkey FROM orders RIGHT ANTI JOIN customer ON o_custkey = c_custkey AND o_totalprice > 100000", "SELECT c_custkey FROM customer ANTI JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000"),
+    "join_merge": ("SELECT /*+ MERGE(customer) */ o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey"),
+    "join_broadcast": ("SELECT /*+ BROADCAST(nation) */ c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey"),
     "agg_distinct": ("SELECT COUNT(DISTINCT l_suppkey) AS suppliers, COUNT(DISTINCT l_returnflag) AS flags FROM lineitem", None),
     "agg_grouping_sets": ("SELECT l_returnflag, l_linestatus, COUNT(*) AS n, GROUPING(l_returnflag) AS g FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())", None),
     "agg_cube": ("SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", None),
@@ -296,6 +329,10 @@ _PLAIN_SQL: dict[str, tuple[str, str | None]] = {
         "SELECT n_regionkey, array_join(array_agg(n_name ORDER BY n_nationkey DESC), ',') AS names FROM nation GROUP BY n_regionkey",
         "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey DESC) AS names FROM nation GROUP BY n_regionkey",
     ),
+    "agg_array_mixed": (
+        "SELECT n_regionkey, array_join(array_agg(n_name ORDER BY n_nationkey % 2 DESC, n_name ASC), ',') AS names, nth_value(n_name, 2 ORDER BY n_name DESC) AS second FROM nation GROUP BY n_regionkey",
+        "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey % 2 DESC, n_name ASC) AS names, (list(n_name ORDER BY n_name DESC))[2] AS second FROM nation GROUP BY n_regionkey",
+    ),
     "agg_string": ("SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey"),
     "agg_first_last": ("SELECT o_custkey, first_value(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_order, last_value(o_orderkey ORDER BY o_orderdate, o_orderkey) AS last_order FROM orders GROUP BY o_custkey", "SELECT o_custkey, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_order, last(o_orderkey ORDER BY o_orderdate, o_orderkey) AS last_order FROM orders GROUP BY o_custkey"),
     "win_rank": (
@@ -315,10 +352,14 @@ _PLAIN_SQL: dict[str, tuple[str, str | None]] = {
     "win_rows_frame": ("SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) AS n FROM orders", None),
     "win_range_frame": ("SELECT o_orderkey, COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL '30' DAY PRECEDING AND CURRENT ROW) AS n FROM orders", None),
     "win_groups_frame": (
-        "SELECT p_partkey, COUNT(*) OVER (PARTITION BY p_brand ORDER BY place RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM (SELECT *, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS place FROM part) p",
+        "SELECT p_partkey, COUNT(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM part",
         "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS n FROM part",
     ),
     "win_agg_over": ("SELECT s_suppkey, ROUND(SUM(s_acctbal) OVER (PARTITION BY s_nationkey), 2) AS total, MAX(s_acctbal) OVER () AS top FROM supplier", None),
+    "qualify_cte": (
+        "WITH top AS (SELECT o_custkey, o_orderkey FROM orders QUALIFY rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC) <= 2) SELECT o_custkey, COUNT(*) AS n FROM top WHERE o_orderkey IN (SELECT o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) > 1) GROUP BY o_custkey",
+        None,
+    ),
     "qualify_rewrite": ("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1", None),
     "set_union": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
     "set_union_all": ("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", None),
@@ -340,37 +381,41 @@ _PLAIN_SQL: dict[str, tuple[str, str | None]] = {
         "SELECT p_partkey, CASE WHEN p_size BETWEEN 1 AND 10 THEN 'small' WHEN p_size IN (11, 12, 13) THEN 'middle' ELSE 'large' END AS size, p_name ILIKE '%A%' AS has_a, p_brand IS DISTINCT FROM 'Brand#11' AS other, CAST(p_retailprice AS INT) IS NOT NULL AS priced FROM part",
         None,
     ),
-    "pred_similar": ("SELECT p_partkey FROM part WHERE p_brand SIMILAR TO 'Brand#[1-3][1-5]' AND p_brand ~ '#'", "SELECT p_partkey FROM part WHERE regexp_full_match(p_brand, 'Brand#[1-3][1-5]')"),
+    "pred_similar": ("SELECT p_partkey, p_brand SIMILAR TO 'Brand.%' AS dot, p_name ~* 'A' AS a FROM part WHERE p_brand SIMILAR TO 'Brand#[1-3][1-5]' AND p_brand ~ '#'", "SELECT p_partkey, false AS dot, regexp_matches(p_name, 'A', 'i') AS a FROM part WHERE regexp_full_match(p_brand, 'Brand#[1-3][1-5]')"),
     "pred_cast_sign": ("SELECT o_orderkey::STRING AS k, '7'::INT + 1 AS n FROM orders", "SELECT o_orderkey::VARCHAR AS k, '7'::INT + 1 AS n FROM orders"),
     "fn_math": (
-        "SELECT p_partkey, gcd(p_partkey, p_size) AS g, lcm(p_size, 6) AS l, ROUND(sqrt(p_retailprice), 4) AS q, ROUND(ln(p_retailprice), 4) AS ln, ROUND(log10(p_retailprice), 4) AS lg, floor(p_retailprice) AS fl, ceil(p_retailprice) AS ce, signum(p_size - 25) AS sg, ROUND(power(p_size, 2), 1) AS pw, ROUND(atan2(p_size, 3), 5) AS at, ROUND(degrees(1), 4) AS dg, ROUND(radians(p_size), 5) AS ra, iszero(p_size - 7) AS z, trunc_to(p_retailprice, 1) AS tr, ROUND(cbrt(p_size), 5) AS cb FROM part",
-        "SELECT p_partkey, gcd(p_partkey, p_size) AS g, lcm(p_size, 6) AS l, round(sqrt(p_retailprice), 4) AS q, round(ln(p_retailprice), 4) AS ln, round(log10(p_retailprice), 4) AS lg, CAST(floor(p_retailprice) AS BIGINT) AS fl, CAST(ceil(p_retailprice) AS BIGINT) AS ce, CAST(sign(p_size - 25) AS DOUBLE) AS sg, round(power(p_size, 2), 1) AS pw, round(atan2(p_size, 3), 5) AS at, round(degrees(1), 4) AS dg, round(radians(p_size), 5) AS ra, p_size = 7 AS z, floor(p_retailprice * 10) / 10 AS tr, round(cbrt(p_size), 5) AS cb FROM part",
+        "SELECT p_partkey, gcd(p_partkey, p_size) AS g, lcm(p_size, 6) AS l, ROUND(sqrt(p_retailprice), 4) AS q, ROUND(ln(p_retailprice), 4) AS ln, ROUND(log10(p_retailprice), 4) AS lg, floor(p_retailprice) AS fl, ceil(p_retailprice) AS ce, signum(p_size - 25) AS sg, ROUND(power(p_size, 2), 1) AS pw, ROUND(atan2(p_size, 3), 5) AS at, ROUND(degrees(1), 4) AS dg, ROUND(radians(p_size), 5) AS ra, iszero(p_size - 7) AS z, trunc(p_retailprice, 1) AS tr, trunc(-p_retailprice) AS tn, ROUND(log(p_retailprice), 4) AS lo, ROUND(cbrt(p_size), 5) AS cb FROM part",
+        "SELECT p_partkey, gcd(p_partkey, p_size) AS g, lcm(p_size, 6) AS l, round(sqrt(p_retailprice), 4) AS q, round(ln(p_retailprice), 4) AS ln, round(log10(p_retailprice), 4) AS lg, CAST(floor(p_retailprice) AS BIGINT) AS fl, CAST(ceil(p_retailprice) AS BIGINT) AS ce, CAST(sign(p_size - 25) AS DOUBLE) AS sg, round(power(p_size, 2), 1) AS pw, round(atan2(p_size, 3), 5) AS at, round(degrees(1), 4) AS dg, round(radians(p_size), 5) AS ra, p_size = 7 AS z, floor(p_retailprice * 10) / 10 AS tr, -floor(p_retailprice) AS tn, round(log10(p_retailprice), 4) AS lo, round(cbrt(p_size), 5) AS cb FROM part",
     ),
     "fn_string": (
         "SELECT n_nationkey, upper(n_name) AS u, initcap(lower(n_name)) AS i, left(n_name, 2) AS l, right(n_name, 2) AS r, lpad(n_name, 12, '.') AS lp, repeat('ab', 2) AS rp, replace(n_name, 'A', 'a') AS re, reverse(n_name) AS rv, strpos(n_name, 'N') AS sp, substr(n_name, 2, 3) AS ss, split_part('a-b-c', '-', 2) AS pt, starts_with(n_name, 'N') AS st, ends_with(n_name, '1') AS en, to_hex(n_nationkey) AS hx, btrim('  x ') AS tr, translate(n_name, 'N', 'M') AS tl, levenshtein(n_name, 'NATION') AS lv, char_length(n_name) AS n, concat_ws('-', n_name, 'z') AS cw, ascii(n_name) AS ac FROM nation",
         "SELECT n_nationkey, upper(n_name) AS u, upper(n_name[1]) || lower(substr(n_name, 2)) AS i, left(n_name, 2) AS l, right(n_name, 2) AS r, lpad(n_name, 12, '.') AS lp, repeat('ab', 2) AS rp, replace(n_name, 'A', 'a') AS re, reverse(n_name) AS rv, strpos(n_name, 'N') AS sp, substr(n_name, 2, 3) AS ss, split_part('a-b-c', '-', 2) AS pt, starts_with(n_name, 'N') AS st, ends_with(n_name, '1') AS en, lower(to_hex(n_nationkey)) AS hx, trim('  x ') AS tr, translate(n_name, 'N', 'M') AS tl, levenshtein(n_name, 'NATION') AS lv, length(n_name) AS n, concat_ws('-', n_name, 'z') AS cw, ascii(n_name) AS ac FROM nation",
     ),
     "fn_regex": (
-        "SELECT p_partkey, regexp_like(p_brand, '#1') AS l, regexp_replace(p_brand, '[0-9]', 'x') AS r, regexp_count(p_brand, '[0-9]') AS c, regexp_instr(p_brand, '#') AS i FROM part",
-        "SELECT p_partkey, regexp_matches(p_brand, '#1') AS l, regexp_replace(p_brand, '[0-9]', 'x', 'g') AS r, CAST(len(regexp_extract_all(p_brand, '[0-9]')) AS INTEGER) AS c, CAST(strpos(p_brand, '#') AS INTEGER) AS i FROM part",
+        "SELECT p_partkey, regexp_like(p_brand, '#1') AS l, regexp_replace(p_brand, '[0-9]', 'x', 'g') AS r, regexp_replace(p_brand, '[0-9]', 'x') AS f, regexp_replace(p_brand, '([a-z]+)#(.)', '\\2-\\1') AS b, regexp_match(p_brand, '#([0-9])([0-9])')[1] AS m, regexp_count(p_brand, '[0-9]') AS c, regexp_instr(p_brand, '#') AS i FROM part",
+        "SELECT p_partkey, regexp_matches(p_brand, '#1') AS l, regexp_replace(p_brand, '[0-9]', 'x', 'g') AS r, regexp_replace(p_brand, '[0-9]', 'x') AS f, regexp_replace(p_brand, '([a-z]+)#(.)', '\\2-\\1') AS b, nullif(regexp_extract(p_brand, '#([0-9])([0-9])', 1), '') AS m, CAST(len(regexp_extract_all(p_brand, '[0-9]')) AS INTEGER) AS c, CAST(strpos(p_brand, '#') AS INTEGER) AS i FROM part",
     ),
     "fn_date": (
-        "SELECT o_orderkey, date_part('year', o_orderdate) AS y, date_trunc('month', o_orderdate) AS m, CAST(make_date(2024, 2, 29) AS STRING) AS d, datediff(o_orderdate, DATE '1992-01-01') AS n, to_char(o_orderdate, 'yyyy-MM-dd') AS t, o_orderdate + INTERVAL '1' DAY AS later FROM orders",
-        "SELECT o_orderkey, CAST(date_part('year', o_orderdate) AS INTEGER) AS y, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(make_date(2024, 2, 29) AS VARCHAR) AS d, CAST(date_diff('day', DATE '1992-01-01', o_orderdate) AS INTEGER) AS n, strftime(o_orderdate, '%Y-%m-%d') AS t, o_orderdate + INTERVAL 1 DAY AS later FROM orders",
+        "SELECT o_orderkey, date_part('year', o_orderdate) AS y, date_trunc('month', o_orderdate) AS m, CAST(make_date(2024, 2, 29) AS STRING) AS d, datediff(o_orderdate, DATE '1992-01-01') AS n, to_char(o_orderdate, '%Y-%m-%d') AS t, to_char(o_orderdate, '%d.%m.%y %H:%M, day %j') AS u, CAST(to_date('17/05/2024', '%d/%m/%Y') AS STRING) AS p, date_part('epoch', o_orderdate) AS ep, date_part('dow', o_orderdate) AS dw, extract(doy FROM o_orderdate) AS dy, o_orderdate + INTERVAL '1' DAY AS later FROM orders",
+        "SELECT o_orderkey, CAST(date_part('year', o_orderdate) AS INTEGER) AS y, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS m, CAST(make_date(2024, 2, 29) AS VARCHAR) AS d, CAST(date_diff('day', DATE '1992-01-01', o_orderdate) AS INTEGER) AS n, strftime(o_orderdate, '%Y-%m-%d') AS t, strftime(o_orderdate, '%d.%m.%y %H:%M, day %j') AS u, '2024-05-17' AS p, date_part('epoch', o_orderdate) AS ep, CAST(date_part('dow', o_orderdate) AS INTEGER) AS dw, CAST(date_part('doy', o_orderdate) AS INTEGER) AS dy, o_orderdate + INTERVAL 1 DAY AS later FROM orders",
     ),
     "fn_date_bin": ("SELECT date_bin(INTERVAL '15 minutes', ts) AS slot, COUNT(*) AS n FROM events GROUP BY ALL", "SELECT time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '1970-01-01 00:00:00') AS slot, count(*) AS n FROM events GROUP BY ALL"),
     "fn_array": (
         "SELECT n_nationkey, array_length(make_array(1, 2, n_nationkey)) AS n, array_has(make_array(1, 2), n_nationkey) AS h, array_to_string(array_sort(make_array(n_name, 'B', 'A')), '+') AS s, array_to_string(array_distinct(make_array('a', 'b', 'a')), '') AS d, array_position(make_array('x', 'y'), 'y') AS p, array_to_string(string_to_array('a.b', '.'), '|') AS w, array_max(make_array(3, n_regionkey)) AS m, array_length(flatten(make_array(make_array(1), make_array(2, 3)))) AS f FROM nation",
         "SELECT n_nationkey, CAST(3 AS INTEGER) AS n, list_contains([1, 2], n_nationkey) AS h, array_to_string(list_sort([n_name, 'B', 'A']), '+') AS s, 'ab' AS d, CAST(2 AS BIGINT) AS p, array_to_string(string_split('a.b', '.'), '|') AS w, greatest(3, n_regionkey) AS m, CAST(3 AS INTEGER) AS f FROM nation",
     ),
+    "fn_array_more": (
+        "SELECT n_nationkey, array_has_all([1, 2, n_regionkey], [2, 3]) AS ha, array_to_string(array_slice(['a', 'b', n_name, 'd'], 2, 3), ',') AS sl, array_to_string(array_pop_back(['a', n_name, 'b']), ',') AS pb, array_to_string(array_pop_front(['a', n_name]), ',') AS pf, array_length(array_positions([1, n_regionkey, 1], 1)) AS ps, array_to_string(array_resize([n_name], 3, 'z'), ',') AS rs, array_length(range(0, n_nationkey, 3)) AS rg, array_to_string(array_remove(['x', n_name, 'x'], 'x'), ',') AS rm, array_to_string(array_replace_all(['x', n_name, 'x'], 'x', 'y'), ',') AS rp, array_distance([1.0, n_regionkey], [4.0, n_regionkey + 4]) AS di, [n_nationkey, 5][1] AS br FROM nation",
+        "SELECT n_nationkey, n_regionkey = 3 AS ha, 'b,' || n_name AS sl, 'a,' || n_name AS pb, n_name AS pf, CAST(CASE WHEN n_regionkey = 1 THEN 3 ELSE 2 END AS INTEGER) AS ps, n_name || ',z,z' AS rs, CAST(len(range(0, n_nationkey, 3)) AS INTEGER) AS rg, n_name || ',x' AS rm, 'y,' || n_name || ',y' AS rp, 5.0::DOUBLE AS di, 5 AS br FROM nation",
+    ),
     "fn_map": (
-        "SELECT n_nationkey, element_at(map('a', n_nationkey, 'b', 2), 'a') AS a, array_join(map_keys(map('a', 1, 'b', 2)), ',') AS k, named_struct('x', n_regionkey).x AS x, element_at(map_from_arrays(array('p'), array(n_name)), 'p') AS p FROM nation",
-        "SELECT n_nationkey, n_nationkey AS a, 'a,b' AS k, n_regionkey AS x, n_name AS p FROM nation",
+        "SELECT n_nationkey, element_at(map(['a', 'b'], [n_nationkey, 2]), 'a') AS a, array_join(map_keys(MAP {'a': 1, 'b': 2}), ',') AS k, get_field(named_struct('y', n_name), 'y') AS y, named_struct('x', n_regionkey).x AS x, element_at(map_from_arrays(array('p'), array(n_name)), 'p') AS p FROM nation",
+        "SELECT n_nationkey, n_nationkey AS a, 'a,b' AS k, n_name AS y, n_regionkey AS x, n_name AS p FROM nation",
     ),
     "fn_conditional": ("SELECT n_nationkey, coalesce(nullif(n_regionkey, 0), -1) AS c, greatest(n_nationkey, n_regionkey, 5) AS g, least(n_nationkey, 3) AS l, nvl(NULL, n_name) AS v, nvl2(n_name, 1, 2) AS w FROM nation", "SELECT n_nationkey, coalesce(nullif(n_regionkey, 0), -1) AS c, greatest(n_nationkey, n_regionkey, 5) AS g, least(n_nationkey, 3) AS l, n_name AS v, 1 AS w FROM nation"),
-    "fn_hash": ("SELECT n_nationkey, md5(n_name) AS m, sha256(n_name) AS s, hex(encode(n_name, 'utf-8')) AS h FROM nation", "SELECT n_nationkey, md5(n_name) AS m, sha256(n_name) AS s, hex(encode(n_name)) AS h FROM nation"),
+    "fn_hash": ("SELECT n_nationkey, md5(n_name) AS m, sha256(n_name) AS s, digest(n_name, 'sha256') AS g, arrow_cast(n_regionkey, 'Int64') AS ac, hex(encode(n_name, 'utf-8')) AS h FROM nation", "SELECT n_nationkey, md5(n_name) AS m, sha256(n_name) AS s, sha256(n_name) AS g, CAST(n_regionkey AS BIGINT) AS ac, hex(encode(n_name)) AS h FROM nation"),
     "fn_json": ("SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events"),
-    "fn_concat_nulls": ("SELECT n_nationkey, concat_nulls(nullif(n_name, n_name), 'x') AS c FROM nation", "SELECT n_nationkey, concat(nullif(n_name, n_name), 'x') AS c FROM nation"),
+    "fn_concat_nulls": ("SELECT n_nationkey, concat(nullif(n_name, n_name), 'x', n_regionkey) AS c FROM nation", "SELECT n_nationkey, concat(nullif(n_name, n_name), 'x', n_regionkey) AS c FROM nation"),
     "tpch_pricing": (
         "SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS qty, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue, ROUND(AVG(l_discount), 6) AS discount, COUNT(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
         "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS discount, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus",
