@@ -4,7 +4,7 @@ import datetime as dt
 
 import numpy as np
 
-from tidemill.operators.spikes import BINS, Rules, Settings, flag_readings, tail_cutoff, wrap
+from tidemill.operators.spikes import Rules, Settings, flag_readings, sizes_of, tail_cutoff, wrap
 
 RULES = {"speed": Rules(0, 60), "heading": Rules(0, 360, 360.0)}
 DDL = "source string, at timestamp_ntz, heading float, speed float, extra string"
@@ -95,9 +95,46 @@ def test_empty_and_tiny_tables(spark):
 def test_cutoff_of_a_normal_tail():
     rng = np.random.default_rng(2)
     size = np.abs(rng.normal(0, 1, 400_000))
-    bins = np.clip(np.floor(4 * (np.log2(np.maximum(size, 2.0**-21)) + 20)), 0, BINS - 1).astype(int)
-    cut = tail_cutoff(np.bincount(bins, minlength=BINS), 1.0, Settings().risk, 7.5)
-    assert 4 < cut < 7.5
+    cut = tail_cutoff(sizes_of(size), 1.0, Settings().risk)
+    assert 4.5 < cut < 8
+    # Spikes among the values, of any size, hardly move it; a smaller risk does.
+    size[:800] = 10.0 ** rng.uniform(1, 6, 800)
+    assert abs(tail_cutoff(sizes_of(size), 1.0, Settings().risk) / cut - 1) < 0.15
+    assert tail_cutoff(sizes_of(size), 1.0, 1e-12) > cut
+
+
+def test_longer_tails_have_higher_cutoffs():
+    rng = np.random.default_rng(3)
+    laplace, heavy = np.abs(rng.laplace(0, 1, 200_000)), np.abs(rng.standard_t(3, 200_000))
+    exact = -np.log(1e-6)
+    assert 0.8 * exact < tail_cutoff(sizes_of(laplace), 1.25, 1e-6) < 1.3 * exact
+    assert tail_cutoff(sizes_of(heavy), 1.38, 1e-6) > 30
+
+
+def test_few_values_have_an_exponential_tail():
+    assert 9 < tail_cutoff(sizes_of(np.ones(10)), 1.0, 1e-8) < 10
+    assert tail_cutoff(sizes_of(np.zeros(0)), 0.0, 1e-8) == 0
+
+
+def test_the_tail_of_a_source_decides(spark):
+    """Two sources with one scatter: what is a spike in the one is an ordinary reading of the other."""
+    rng = np.random.default_rng(12)
+    n = 12_000
+    t = [START + dt.timedelta(seconds=120 * i) for i in range(n)]
+    smooth = rng.normal(0, 1, n)
+    rough = rng.laplace(0, 1, n)
+    rough *= np.abs(smooth).mean() / np.abs(rough).mean()
+    rows, spikes = [], range(1000, n - 100, 500)
+    for source, noise in (("smooth", smooth), ("rough", rough)):
+        noise = noise * 0.2
+        for i in spikes:
+            noise[i] = 10.5 * 1.2533 * 0.2 * np.abs(smooth).mean()
+        rows += [(source, a, 1.0, float(30 + v), "x") for a, v in zip(t, np.round(noise, 3))]
+    found = [r for r in flag_readings(spark.createDataFrame(rows, DDL), ["source"], "at", RULES).collect() if r["kind"] == "spike"]
+    cut = {r["source"]: r["cutoff"] / r["scatter"] for r in found}
+    flags = {s: {r["timestamp_us"] for r in found if r["source"] == s} for s in ("smooth", "rough")}
+    assert flags["smooth"] == {us(t[i]) for i in spikes} and 4.5 < cut["smooth"] < 9.5
+    assert len(flags["rough"]) < len(flags["smooth"]) / 3
 
 
 def test_shorter_way_round():

@@ -18,8 +18,18 @@ from tidemill.runtime import attach, complete_groups, durable, group_starts, str
 
 #: Values kept of each block's edges, for the levels of its neighbours.
 EDGE = 16
-#: Bins of the residuals' size, four to a doubling, the first from 2 ** -20.
-BINS = 160
+#: Bins of the residuals' size, PER to a doubling, the first from 2 ** LOWEST.
+PER, LOWEST = 8, -20
+BINS = 60 * PER
+#: The tail that is fitted: sizes above this part of all.
+PEAKS = 0.9
+#: Where the first fit ends, in scatters; see tail_cutoff.
+CORE = 4.0
+#: Standard deviation of the tail's shape about 0 (an exponential tail) before its peaks are seen: a few hundred peaks
+#: alone would not tell the shape well enough to go on to a small risk.
+SHAPE = 0.05
+#: Sizes that a fit needs at least.
+FEW = 50
 #: Values that a scatter needs at least; no more than EDGE.
 LEAST = 9
 
@@ -37,16 +47,13 @@ class Rules:
 class Settings:
     """`stuck`: equal values in a row from which on a run is stuck. `longest`: values in a row that may be a spike.
 
-    `risk`: chance of an ordinary reading to lie beyond the cutoff that is fitted to a source's tail. `least`: a
-    spike is at least so many times the source's scatter off its level; as the scatter is an estimate, `margin` of
-    that is asked for. The fitted cutoff is never above it, so it decides which readings are looked at more closely.
+    `risk`: chance of an ordinary reading to lie beyond its source's cutoff. One in a hundred million leaves a table of
+    billions of readings with tens of candidates that aren't spikes, before the rule on levels is asked.
     """
 
     stuck: int = 20
     longest: int = 3
-    risk: float = 1e-7
-    least: float = 10.0
-    margin: float = 0.85
+    risk: float = 1e-8
 
 
 def wrap(difference: np.ndarray, period: float | None) -> np.ndarray:
@@ -94,21 +101,34 @@ def _residuals(values: np.ndarray, period: float | None) -> np.ndarray:
     return wrap(values - running_level(values, period), period)
 
 
-def _spread(values: np.ndarray, hours: np.ndarray, period: float | None) -> tuple[float, np.ndarray, np.ndarray]:
+def _spread(values: np.ndarray, hours: np.ndarray, period: float | None, stuck: int) -> tuple[float, np.ndarray, np.ndarray]:
     """Of values and their hours of the day: the scatter about their level, counts of residual sizes, and sums and
-    counts of calm residuals by hour."""
+    counts of calm residuals by hour. Stuck runs say nothing on sizes and aren't counted."""
     away = _residuals(values, period)
     size = np.abs(away)
     robust = 1.4826 * float(np.median(size))
     # The median of coarse readings is a multiple of their resolution; the mean of clipped sizes isn't.
     scatter = 1.2533 * float(np.mean(np.minimum(size, 6 * robust if robust else np.quantile(size, 0.98))))
-    bins = np.clip(np.floor(4 * (np.log2(np.maximum(size, 2.0**-21)) + 20)), 0, BINS - 1).astype(int)
     calm = size <= 5 * max(scatter, 1e-9)
     sums = np.concatenate([np.bincount(hours[calm], weights=away[calm], minlength=24), np.bincount(hours[calm], minlength=24)])
-    return scatter, np.bincount(bins, minlength=BINS).astype(np.int32), sums
+    moving = ~_stuck(values, (np.nan, 0), (np.nan, 0), stuck)
+    # Readings and their level are rounded: a residual stands for all that are less than the resolution off it, the
+    # nearer ones more often, so that the tail of coarse readings has no steps.
+    change = np.abs(wrap(np.diff(values), period))
+    change = change[change > 0]
+    step = float(np.quantile(change, 0.05)) if len(change) else 0.0
+    number = np.arange(int(moving.sum()))
+    spread = np.abs(away[moving] + step * ((number * 0.7548776662466927) % 1 + (number * 0.5698402909980532) % 1 - 1))
+    return scatter, sizes_of(spread), sums
 
 
-def _summary(times: np.ndarray, values: list[np.ndarray], rules: list[Rules]) -> dict:
+def sizes_of(size: np.ndarray) -> np.ndarray:
+    """Counts of sizes by bin."""
+    place = np.floor(PER * (np.log2(np.maximum(size, 2.0**LOWEST)) - LOWEST))
+    return np.bincount(np.clip(place, 0, BINS - 1).astype(int), minlength=BINS).astype(np.int32)
+
+
+def _summary(times: np.ndarray, values: list[np.ndarray], rules: list[Rules], stuck: int) -> dict:
     """What the rest of a source has to know of a block, per column; a bounded number of bytes.
 
     A block of fewer than LEAST values has no scatter of its own; all its values are at its edges, and their hours follow.
@@ -125,7 +145,7 @@ def _summary(times: np.ndarray, values: list[np.ndarray], rules: list[Rules]) ->
         counts, hours, sizes, few = np.zeros(BINS, np.int32), np.zeros(48), np.zeros(3), np.zeros(0)
         hour = (times[good][possible] // HOUR_US % 24).astype(int)
         if len(p) >= LEAST:
-            scatter, counts, hours = _spread(p, hour, rule.period)
+            scatter, counts, hours = _spread(p, hour, rule.period, stuck)
             sizes[:] = scatter, len(p), 0
         else:
             few = hour.astype(float)
@@ -151,38 +171,57 @@ def _joined(stats: list[np.ndarray], edges: list[np.ndarray]) -> list[tuple[np.n
     return out
 
 
-def tail_cutoff(counts: np.ndarray, scatter: float, risk: float, cap: float) -> float:
+def tail_cutoff(counts: np.ndarray, scatter: float, risk: float) -> float:
     """The size that an ordinary residual exceeds with probability `risk`, by peaks over threshold.
 
-    A generalised Pareto distribution is fitted by moments to the excesses over the 98 % point. Sizes beyond `cap`
-    times the scatter aren't ordinary and stay out of the fit.
+    A generalised Pareto distribution is fitted to the excesses over the PEAKS point by penalised maximum likelihood,
+    of ordinary sizes only: the first fit sees those up to CORE scatters, each further one those up to the cutoff of
+    the one before, as values of a distribution that is cut off there. So the fit grows along an unbroken tail, however
+    long, until it ends within its own cutoff, and spikes beyond a gap don't move it, however large or many they are.
+    Of fewer than FEW sizes nothing is fitted; the tail then is exponential, with half the scatter as its scale.
     """
-    edges = 2.0 ** (np.arange(BINS + 1) / 4 - 20)
-    middle = np.sqrt(edges[1:] * edges[:-1])
-    ordinary = np.where(middle <= cap * scatter, counts, 0).astype(float)
-    total = ordinary.sum()
-    if total < 50 or scatter <= 0:
-        return cap * scatter
-    above = np.cumsum(ordinary[::-1])[::-1]
-    start = max(int(np.searchsorted(-above, -0.02 * total, side="right")) - 1, 0)
-    weights, excess = ordinary[start:], middle[start:] - edges[start]
-    share = weights.sum() / total
-    mean = float((weights * excess).sum() / weights.sum())
-    variance = float((weights * (excess - mean) ** 2).sum() / weights.sum())
-    if variance <= 0 or mean <= 0:
-        return cap * scatter
-    shape = float(np.clip(0.5 * (1 - mean * mean / variance), -0.4, 0.3))
-    scale = mean * (1 - shape)
-    ratio = risk / share
-    beyond = scale * (-np.log(ratio) if abs(shape) < 1e-6 else (ratio**-shape - 1) / shape)
-    return float(min(edges[start] + beyond, cap * scatter))
+    counts = counts.astype(float)
+    total = float(counts.sum())
+    if scatter <= 0:
+        return 0.0
+    if total < FEW:
+        return scatter * (1.645 + 0.5 * math.log((1 - PEAKS) / risk))
+    edges = 2.0 ** (np.arange(BINS + 1) / PER + LOWEST)
+    above = np.cumsum(counts[::-1])[::-1]
+    start = max(int(np.searchsorted(-above, -(1 - PEAKS) * total, side="right")) - 1, 0)
+    shapes = np.linspace(-0.5, 0.9, 57)
+    bent = np.where(np.abs(shapes) < 1e-9, 1.0, shapes)[:, None, None]
+    stop, cut = int(np.searchsorted(edges, CORE * scatter)), 0.0
+    for _ in range(BINS):
+        stop = min(max(stop, start + 2), BINS)
+        excess, seen = edges[start : stop + 1] - edges[start], counts[start:stop]
+        mean = max(float((seen * (excess[1:] + excess[:-1])).sum()) / 2 / max(float(seen.sum()), 1.0), float(excess[1]))
+        scales = mean * np.geomspace(0.25, 4, 90)
+        ratio = excess[None, None, :] / scales[None, :, None]
+        with np.errstate(divide="ignore"):
+            beyond = np.where(np.abs(shapes)[:, None, None] < 1e-9, np.exp(-ratio), np.maximum(1 + bent * ratio, 0.0) ** (-1 / bent))
+        inside = np.maximum(beyond[:, :, :-1] - beyond[:, :, 1:], 1e-300)
+        part = 1 - beyond[:, :, -1]
+        fit = (seen * np.log(inside)).sum(axis=2) - seen.sum() * np.log(np.maximum(part, 1e-300)) - 0.5 * (shapes / SHAPE)[:, None] ** 2
+        i, j = np.unravel_index(int(np.argmax(fit)), fit.shape)
+        shape, scale = float(shapes[i]), float(scales[j])
+        peaks = float(seen.sum()) / max(float(part[i, j]), 1e-9)
+        odds = risk * (total - above[start] + peaks) / max(peaks, 1.0)
+        further = -math.log(odds) if abs(shape) < 1e-9 else (odds**-shape - 1) / shape
+        cut = float(edges[start] + scale * further)
+        reach = int(np.searchsorted(edges, cut))
+        # What lies between this end of the fit and its cutoff is ordinary after all; without any, the fit is done.
+        if reach <= stop or not counts[stop:reach].any():
+            break
+        stop = reach
+    return cut
 
 
 def _carried(rows: list[dict], i: int, rule: Rules, settings: Settings) -> list[dict]:
     """For each block of one source, in order: the cutoffs of the source and what surrounds the block."""
     stats = [unpack(r[f"__c{i}"], np.float64) for r in rows]
     head, tail = [unpack(r[f"__a{i}"], np.float64) for r in rows], [unpack(r[f"__z{i}"], np.float64) for r in rows]
-    joined = [(len(v), *_spread(v, h, rule.period)) for v, h in _joined(stats, head)]
+    joined = [(len(v), *_spread(v, h, rule.period, settings.stuck)) for v, h in _joined(stats, head)]
     weight = np.array([s[1] for s in stats] + [j[0] for j in joined])
     scatters = np.array([s[0] for s in stats] + [j[1] for j in joined])
     order = np.argsort(scatters)
@@ -195,7 +234,7 @@ def _carried(rows: list[dict], i: int, rule: Rules, settings: Settings) -> list[
     hours = sum(s[8:56] for s in stats) + sum(j[3] for j in joined)
     profile = hours[:24] / np.maximum(hours[24:], 1)
     counts = sum(np.asarray(unpack(r[f"__h{i}"], np.int32), np.int64) for r in rows) + sum(j[2].astype(np.int64) for j in joined)
-    cut = tail_cutoff(counts, scatter, settings.risk, settings.least * settings.margin)
+    cut = tail_cutoff(counts, scatter, settings.risk)
     n = len(rows)
     before, after, left, right = [None] * n, [None] * n, [None] * n, [None] * n
     held, run = np.zeros(0), (np.nan, 0.0)
@@ -218,32 +257,46 @@ def _carried(rows: list[dict], i: int, rule: Rules, settings: Settings) -> list[
     ]
 
 
+def _levels(curve: np.ndarray, first: np.ndarray, width: int, period: float | None) -> np.ndarray:
+    """The medians of `width` values from each of some places on; NaN are no values. Circular ones about their mean
+    direction, which a few far off don't turn round."""
+    rows = curve[first[:, None] + np.arange(width)]
+    if period is None:
+        return np.nanmedian(rows, axis=1)
+    about = np.angle(np.nansum(np.exp(2j * np.pi / period * rows), axis=1)) * period / (2 * np.pi)
+    return about + np.nanmedian(wrap(rows - about[:, None], period), axis=1)
+
+
 def spike_mask(values: np.ndarray, times: np.ndarray, rule: Rules, settings: Settings, scatter: float, cut: float, profile: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Which of a block's possible values are spikes; `before` and `after` are the values around the block."""
+    """Which of a block's possible values are spikes; `before` and `after` are the values around the block.
+
+    A value beyond the cutoff is one if it, or up to `longest` values with it, are beyond the cutoff from the level of
+    the seven, or the three, values before and of those after, while these values and levels agree.
+    """
     n, lead = len(values), len(before)
     found = np.zeros(n, bool)
     if scatter <= 0:
         return found
     curve = np.concatenate([before, values, after])
-    residual = _residuals(curve, rule.period)
-    seasonal = residual[lead : lead + n] - profile[(times // HOUR_US % 24).astype(int)]
+    seasonal = _residuals(curve, rule.period)[lead : lead + n] - profile[(times // HOUR_US % 24).astype(int)]
     candidate = np.flatnonzero(np.abs(seasonal) > cut) + lead
-    need = settings.margin * settings.least * scatter
-    for c in candidate.tolist():
-        for width in (7, 3):
-            for run in range(1, settings.longest + 1):
-                for s in range(c - run + 1, c + 1):
-                    e = s + run
-                    if s < 3 or e + 3 > len(curve):
-                        continue
-                    low, high = _level(curve, s - width, s, rule.period), _level(curve, e, e + width, rule.period)
-                    part = curve[s:e]
-                    off = min(np.abs(wrap(part - low, rule.period)).min(), np.abs(wrap(part - high, rule.period)).min())
-                    near = max(abs(float(wrap(np.array(curve[s - 1] - low), rule.period))), abs(float(wrap(np.array(curve[e] - high), rule.period))))
-                    same = abs(float(wrap(np.array(high - low), rule.period)))
-                    if off >= need and near < off / 2 and same < off / 2:
-                        a, b = max(s - lead, 0), min(e - lead, n)
-                        found[a:b] = True
+    pad = 7
+    padded = np.concatenate([np.full(pad, np.nan), curve, np.full(pad, np.nan)])
+    gap = lambda a, b: np.abs(wrap(a - b, rule.period))
+    for width in (7, 3):
+        for run in range(1, settings.longest + 1):
+            for back in range(run):
+                s = candidate - back
+                s = s[(s >= 3) & (s + run + 3 <= len(curve))]
+                if not len(s):
+                    continue
+                low, high = _levels(padded, s + pad - width, width, rule.period), _levels(padded, s + pad + run, width, rule.period)
+                part = curve[s[:, None] + np.arange(run)]
+                off = np.minimum(gap(part, low[:, None]).min(axis=1), gap(part, high[:, None]).min(axis=1))
+                near = np.maximum(gap(curve[s - 1], low), gap(curve[s + run], high))
+                hit = (off > cut) & (near < off / 2) & (gap(high, low) < off / 2)
+                at = (s[hit][:, None] + np.arange(run)).ravel() - lead
+                found[at[(at >= 0) & (at < n)]] = True
     return found
 
 
@@ -255,7 +308,9 @@ def flag_readings(df: DataFrame, keys: Sequence[str], ts: str, columns: Mapping[
 
     * impossible: below `lowest` or above `highest`, infinities included;
     * stuck: in a run of at least `stuck` exactly equal values;
-    * spike: one of at most `longest` possible values in a row that leave the level held just before and just after.
+    * spike: one of at most `longest` possible values in a row that are further than the source's cutoff off the level
+      held just before and just after. So of two sources with the same scatter, one whose readings often stray and one
+      whose don't, the first needs a larger deviation.
 
     Null and NaN are skipped, so values around them are neighbours. Rows equal in key, time and all columns count
     once; ties in time are ordered by value. A null key is a source of its own; rows without time are ignored; an
@@ -263,7 +318,8 @@ def flag_readings(df: DataFrame, keys: Sequence[str], ts: str, columns: Mapping[
     fewer are put together with such blocks beside them, so how slowly a source is read doesn't matter.
 
     Method: residuals about the running median, less their mean by hour of the day, per source; a generalised Pareto
-    fit to their peaks gives the cutoff at a fixed risk; candidates beyond it are held against the rule above. Blocks
+    fit to their peaks gives the source's cutoff at a fixed risk. A reading is a spike if it is beyond that cutoff and
+    the levels before and after it agree: the rule on levels only tells a spike from a step or a slope. Blocks
     of a source send counts of residual sizes, sums by hour and the values at their edges (a bounded number) to one
     scan per source; a run or spike across blocks is seen from both. No task holds more than a block of readings.
     """
@@ -271,7 +327,7 @@ def flag_readings(df: DataFrame, keys: Sequence[str], ts: str, columns: Mapping[
     rules, fields = list(columns.values()), list(columns)
     names = [f"__k{i}" for i in range(len(keys))]
     per = [f"__{x}{i}" for i in range(len(fields)) for x in "chaz"]
-    blocks = durable(pack_blocks(df, keys, ts, fields, block_hours, lambda t, v: _summary(t, v, rules), ", ".join(f"{c} binary" for c in per)))
+    blocks = durable(pack_blocks(df, keys, ts, fields, block_hours, lambda t, v: _summary(t, v, rules, settings.stuck), ", ".join(f"{c} binary" for c in per)))
     placed = blocks.select(*names, "__block", *per)
     placed = (placed.repartition(*names) if names else placed.repartition(1)).sortWithinPartitions(*names, "__block")
     key_ddl = struct_text(blocks, names)
