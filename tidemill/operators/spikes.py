@@ -189,14 +189,14 @@ def tail_cutoff(counts: np.ndarray, scatter: float, risk: float) -> float:
     edges = 2.0 ** (np.arange(BINS + 1) / PER + LOWEST)
     above = np.cumsum(counts[::-1])[::-1]
     start = max(int(np.searchsorted(-above, -(1 - PEAKS) * total, side="right")) - 1, 0)
-    shapes = np.linspace(-0.5, 0.9, 57)
+    shapes = np.linspace(-0.5, 0.9, 29)
     bent = np.where(np.abs(shapes) < 1e-9, 1.0, shapes)[:, None, None]
     stop, cut = int(np.searchsorted(edges, CORE * scatter)), 0.0
     for _ in range(BINS):
         stop = min(max(stop, start + 2), BINS)
         excess, seen = edges[start : stop + 1] - edges[start], counts[start:stop]
         mean = max(float((seen * (excess[1:] + excess[:-1])).sum()) / 2 / max(float(seen.sum()), 1.0), float(excess[1]))
-        scales = mean * np.geomspace(0.25, 4, 90)
+        scales = mean * np.geomspace(0.25, 4, 70)
         ratio = excess[None, None, :] / scales[None, :, None]
         with np.errstate(divide="ignore"):
             beyond = np.where(np.abs(shapes)[:, None, None] < 1e-9, np.exp(-ratio), np.maximum(1 + bent * ratio, 0.0) ** (-1 / bent))
@@ -261,10 +261,13 @@ def _levels(curve: np.ndarray, first: np.ndarray, width: int, period: float | No
     """The medians of `width` values from each of some places on; NaN are no values. Circular ones about their mean
     direction, which a few far off don't turn round."""
     rows = curve[first[:, None] + np.arange(width)]
-    if period is None:
-        return np.nanmedian(rows, axis=1)
-    about = np.angle(np.nansum(np.exp(2j * np.pi / period * rows), axis=1)) * period / (2 * np.pi)
-    return about + np.nanmedian(wrap(rows - about[:, None], period), axis=1)
+    about = np.zeros(len(rows))
+    if period is not None:
+        about = np.angle(np.nansum(np.exp(2j * np.pi / period * rows), axis=1)) * period / (2 * np.pi)
+        rows = wrap(rows - about[:, None], period)
+    # Sorting puts NaN last.
+    count, rows, each = (~np.isnan(rows)).sum(axis=1), np.sort(rows, axis=1), np.arange(len(rows))
+    return about + (rows[each, (count - 1) // 2] + rows[each, count // 2]) / 2
 
 
 def spike_mask(values: np.ndarray, times: np.ndarray, rule: Rules, settings: Settings, scatter: float, cut: float, profile: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -280,6 +283,8 @@ def spike_mask(values: np.ndarray, times: np.ndarray, rule: Rules, settings: Set
     curve = np.concatenate([before, values, after])
     seasonal = _residuals(curve, rule.period)[lead : lead + n] - profile[(times // HOUR_US % 24).astype(int)]
     candidate = np.flatnonzero(np.abs(seasonal) > cut) + lead
+    if not len(candidate):
+        return found
     pad = 7
     padded = np.concatenate([np.full(pad, np.nan), curve, np.full(pad, np.nan)])
     gap = lambda a, b: np.abs(wrap(a - b, rule.period))
