@@ -4,10 +4,12 @@ import datetime as dt
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from tidemill.operators import rolling
 from tidemill.operators.rolling import HIGHEST, LOWEST, SUM, TwoStackQueue, rolling_totals, trailing
 
 DDL = "at timestamp_ntz, a string, b string, x float, y float"
@@ -72,3 +74,40 @@ def test_empty_table_clashing_names_and_bad_arguments(spark):
 def test_without_keys_all_rows_are_one_entity(spark):
     df = spark.createDataFrame([(at(0), 1.0), (at(1), 2.0)], "at timestamp_ntz, x double")
     assert [r["x_total"] for r in rolling_totals(df, [], "at", ["x"], [7]).orderBy("day").collect()] == [1.0, 3.0]
+
+
+def test_pieces_give_the_same_as_the_whole(monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = []
+    for e, span in enumerate((1, 40, 3000, 7, 900)):
+        for day in sorted(rng.choice(span, size=max(1, span // 9), replace=False).tolist()):
+            v = float(rng.integers(1, 9))
+            rows.append((f"e{e}", day - 500, 2, v, v - 1, v + 1))
+    names = ["k", "__day", "__n0", "__s0", "__l0", "__h0"]
+    table = pa.table({n: list(c) for n, c in zip(names, zip(*rows))})
+
+    def run():
+        found = [r for b in rolling._roll(table, ["k"], ["x"], [7, 30]) for r in b.to_pylist()]
+        return sorted(map(str, found)), found
+
+    want, found = run()
+    assert len(found) == len(want) and len({(r["k"], r["day"], r["window_days"]) for r in found}) == len(found)
+    for days, size in ((11, 50), (100, 100_000), (1, 1)):
+        monkeypatch.setattr(rolling, "PIECE_DAYS", days)
+        monkeypatch.setattr(rolling, "PIECE_ROWS", size)
+        batches = list(rolling._roll(table, ["k"], ["x"], [7, 30]))
+        assert len(batches) >= 2 and max(b.num_rows for b in batches) <= days + size
+        assert run()[0] == want
+
+
+def test_a_wrong_date_far_off(spark):
+    rows = [(at(0), "p", 1.0), (at(1), "p", 2.0), (at(300_000), "p", 4.0), (at(0), "q", 1.0)]
+    found = rolling_totals(spark.createDataFrame(rows, "at timestamp_ntz, a string, x double"), ["a"], "at", ["x"], [7])
+    assert found.count() == 300_002
+    assert [r["x_total"] for r in found.where("a = 'p' AND active_days > 0").orderBy("day").collect()] == [1.0] + [3.0] * 6 + [2.0] + [4.0]
+
+
+def test_rows_are_shuffled_once(spark):
+    found = rolling_totals(spark.createDataFrame([(at(0), "p", 1.0)], "at timestamp_ntz, a string, x double"), ["a"], "at", ["x"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2

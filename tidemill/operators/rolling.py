@@ -84,16 +84,20 @@ def trailing(values: np.ndarray, width: int, monoid: Monoid) -> np.ndarray:
 def daily_totals(df: DataFrame, keys: Sequence[str], ts: str, fields: Sequence[str], dedupe: bool = True) -> DataFrame:
     """One row per entity and day that has a row: per field the count, sum, lowest and highest of its usable values.
 
-    The counts are combined in the mappers before the shuffle, so an entity or day with many rows stays small.
+    Rows are shuffled once, by entity and day: equal rows have the same, so they meet there, and the aggregation needs
+    no further shuffle. An entity with a third of all rows is spread over its days. Without `dedupe` the counts are
+    combined in the mappers before the shuffle.
     """
-    rows = df.dropDuplicates() if dedupe else df
-    rows = rows.where(F.col(quoted(ts)).isNotNull())
+    rows = df.where(F.col(quoted(ts)).isNotNull()).withColumn("__day", epoch_day(F.col(quoted(ts))))
+    names = [quoted(k) for k in keys]
+    if dedupe:
+        rows = rows.repartition(*[F.col(n) for n in names], F.col("__day")).dropDuplicates()
     aggregates = []
     for i, field in enumerate(fields):
         value = F.col(quoted(field)).cast("double")
         value = F.when(usable(value), value)
         aggregates += [F.count(value).alias(f"__n{i}"), F.sum(value).alias(f"__s{i}"), F.min(value).alias(f"__l{i}"), F.max(value).alias(f"__h{i}")]
-    return rows.groupBy(*[F.col(quoted(k)) for k in keys], epoch_day(F.col(quoted(ts))).alias("__day")).agg(*aggregates)
+    return rows.groupBy(*names, "__day").agg(*aggregates)
 
 
 def rolling_totals(
@@ -116,8 +120,9 @@ def rolling_totals(
     table, or one without usable reading, gives no rows. Columns other than those named may have any name; names
     starting with two underscores are kept free.
 
-    Plan: (entity, day) aggregates with partial aggregation, one shuffle of those by entity, then the monoid queue
-    over each sorted partition. An entity's part is bounded by its days, whatever its number of rows.
+    Plan: one shuffle of the rows by entity and day, one of the (entity, day) aggregates by entity, then the monoid
+    queue over each sorted partition. An entity's part there is bounded by its days, whatever its number of rows, and
+    comes out in pieces: a wrong date far off makes many rows, but never many at once.
     """
     keys, fields, windows = list(keys), list(fields), [int(w) for w in windows]
     if not fields or any(w < 1 for w in windows):
@@ -140,42 +145,73 @@ def rolling_totals(
     return placed.mapInArrow(run, schema)
 
 
+#: Days of an entity, and rows of a batch, that are worked on at once.
+PIECE_DAYS, PIECE_ROWS = 100_000, 250_000
+
+
+def _spans(day: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Stretches of at most PIECE_DAYS: their entity, first and last day, and the rows that windows in them reach."""
+    first, last = day[starts], day[ends - 1]
+    number = (last - first) // PIECE_DAYS + 1
+    entity = np.repeat(np.arange(len(starts)), number)
+    place = np.arange(len(entity)) - np.repeat(np.cumsum(number) - number, number)
+    low = first[entity] + place * PIECE_DAYS
+    high = np.minimum(low + PIECE_DAYS - 1, last[entity])
+    a, b = starts[entity].copy(), ends[entity].copy()
+    for k in np.flatnonzero(number[entity] > 1).tolist():
+        own = day[starts[entity[k]] : ends[entity[k]]]
+        a[k] = starts[entity[k]] + np.searchsorted(own, low[k] - window + 1)
+        b[k] = starts[entity[k]] + np.searchsorted(own, high[k], side="right")
+    return entity, low, high, a, b
+
+
 def _roll(table: pa.Table, keys: list[str], fields: list[str], windows: list[int]) -> Iterator[pa.RecordBatch]:
     starts = group_starts(table, keys)
     ends = np.append(starts[1:], table.num_rows)
     day = int64(table.column("__day"))
-    first, last = day[starts], day[ends - 1]
-    length = last - first + 1
-    group = np.repeat(np.arange(len(starts)), ends - starts)
+    parts = [tuple(float64(table.column(f"__{x}{i}")) for x in "nslh") for i in range(len(fields))]
     for window in windows:
-        # Every entity has window - 1 empty places before it, so no window reaches into the entity before.
-        offset = np.cumsum(length + window - 1) - length
-        size = int(offset[-1] + length[-1])
-        at = offset[group] + day - first[group]
-        here = np.repeat(offset - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
-
-        def over(values: np.ndarray, monoid: Monoid, at: np.ndarray = at, size: int = size, here: np.ndarray = here, window: int = window) -> np.ndarray:
-            dense = np.full(size, monoid.identity)
-            dense[at] = np.where(np.isnan(values) & (monoid is not SUM), monoid.identity, values)
-            return trailing(dense, window, monoid)[here]
-
-        owner = np.repeat(starts, length)
-        columns: list[Any] = [table.column(k).take(pa.array(owner)).combine_chunks() for k in keys]
-        columns.append(pa.array((np.repeat(first - (np.cumsum(length) - length), length) + np.arange(len(here))).astype(np.int32)).cast(pa.date32()))
-        columns.append(pa.array(np.full(len(here), window, np.int32)))
-        columns.append(pa.array(over(np.ones(len(day)), SUM).astype(np.int32)))
-        names = [*keys, "day", "window_days", "active_days"]
-        for i, field in enumerate(fields):
-            number = float64(table.column(f"__n{i}"))
-            n = over(number, SUM).astype(np.int64)
-            none = n == 0
-            total = over(np.where(number > 0, float64(table.column(f"__s{i}")), 0.0), SUM)
-            columns += [
-                pa.array(n),
-                pa.array(total, mask=none),
-                pa.array(np.divide(total, n, out=np.zeros_like(total), where=~none), mask=none),
-                pa.array(over(float64(table.column(f"__l{i}")), LOWEST), mask=none),
-                pa.array(over(float64(table.column(f"__h{i}")), HIGHEST), mask=none),
-            ]
-            names += [f"{field}_{x}" for x in ("count", "total", "average", "lowest", "highest")]
-        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) for c in columns], names=names)
+        entity, low, high, a, b = _spans(day, starts, ends, window)
+        rows = np.cumsum(high - low + window)
+        cuts = np.unique(np.searchsorted(rows, np.arange(PIECE_ROWS, int(rows[-1]) + PIECE_ROWS, PIECE_ROWS), side="left") + 1)
+        for x, y in zip([0, *cuts.tolist()], cuts.tolist()):
+            if x < len(entity):
+                some = slice(x, y)
+                yield _window(table, keys, fields, window, starts[entity[some]], low[some], high[some], a[some], b[some], day, parts)
+
+
+def _window(table: pa.Table, keys: list[str], fields: list[str], window: int, owner: np.ndarray, low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray, day: np.ndarray, parts: list) -> pa.RecordBatch:
+    """The rows of some stretches, each from its first to its last day; `owner` is a row of each one's entity."""
+    length = high - low + 1
+    # Every stretch has window - 1 places before it, for the days that its first windows reach back to.
+    offset = np.cumsum(length + window - 1) - length
+    size = int(offset[-1] + length[-1])
+    count = b - a
+    rows = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
+    at = np.repeat(offset - low, count) + day[rows]
+    here = np.repeat(offset - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+
+    def over(values: np.ndarray, monoid: Monoid) -> np.ndarray:
+        dense = np.full(size, monoid.identity)
+        dense[at] = np.where(np.isnan(values) & (monoid is not SUM), monoid.identity, values)
+        return trailing(dense, window, monoid)[here]
+
+    take = pa.array(np.repeat(owner, length))
+    columns: list[Any] = [table.column(k).take(take).combine_chunks() for k in keys]
+    columns.append(pa.array((np.repeat(low - (np.cumsum(length) - length), length) + np.arange(len(here))).astype(np.int32)).cast(pa.date32()))
+    columns.append(pa.array(np.full(len(here), window, np.int32)))
+    columns.append(pa.array(over(np.ones(len(rows)), SUM).astype(np.int32)))
+    names = [*keys, "day", "window_days", "active_days"]
+    for field, (number, total, lowest, highest) in zip(fields, parts):
+        n = over(number[rows], SUM).astype(np.int64)
+        none = n == 0
+        whole = over(np.where(number > 0, total, 0.0)[rows], SUM)
+        columns += [
+            pa.array(n),
+            pa.array(whole, mask=none),
+            pa.array(np.divide(whole, n, out=np.zeros_like(whole), where=~none), mask=none),
+            pa.array(over(lowest[rows], LOWEST), mask=none),
+            pa.array(over(highest[rows], HIGHEST), mask=none),
+        ]
+        names += [f"{field}_{x}" for x in ("count", "total", "average", "lowest", "highest")]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.concat_arrays(c.chunks) for c in columns], names=names)
