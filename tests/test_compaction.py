@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import compaction
 from tidemill.operators.compaction import canonical_location, compact, compacted_records, manifest, plan_compaction
+from tidemill.runtime import durable
 
 FILES = "file_id bigint, location string, table_name string, field_column smallint, file_name string, size_bytes bigint, row_count bigint, modified timestamp_ntz, removed_at timestamp_ntz"
 RECORDS = "file_id bigint, row_index int, record_id bigint, value float"
@@ -95,3 +96,32 @@ def test_lost_records_are_noticed(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(compaction, "compacted_records", lambda p, r, lost=lost: whole(p, r).where(f"NOT coalesce({lost}, false)"))
         with pytest.raises(RuntimeError, match="differ"):
             compact(files, records, str(tmp_path / lost[-2:]))
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_both_ways_of_joining_give_the_same(spark, monkeypatch, few):
+    """Repeated records over many files, ties and records without id, beside a plain ranking of all records."""
+    if not few:
+        monkeypatch.setattr(compaction, "FEW_FILES", 0)
+        monkeypatch.setattr(compaction, "FEW_REPEATS", 0)
+    files = spark.createDataFrame([file(i, table="tu"[i % 2], size=50_000 if i % 5 == 0 else 100) for i in range(1, 20)], FILES)
+    rows = [(i % 21, i % 7, None if i % 11 == 0 else i * 13 % 60, float(i % 3)) for i in range(300)]
+    records = spark.createDataFrame(rows, RECORDS)
+    plan = plan_compaction(files)
+    at = {r["file_id"]: r["group_index"] for r in plan.collect()}
+    best: dict = {}
+    for f, row, record, _ in rows:
+        if f in at:
+            own = ("id", record) if record is not None else (f, row)
+            rank = (at[f] is not None, f, row)
+            best[own] = min(best.get(own, rank), rank)
+    want = sorted((own[1] if own[0] == "id" else -1, rank[1], rank[2]) for own, rank in best.items())
+    found = compacted_records(plan, records).select(F.coalesce("record_id", F.lit(-1)), "file_id", "row_index").collect()
+    assert sorted(map(tuple, found)) == want
+
+
+def test_records_are_not_shuffled(spark):
+    files = spark.createDataFrame([file(1), file(2), file(3, size=50_000)], FILES)
+    records = spark.createDataFrame([(1, 0, 10, 1.0), (2, 0, 10, 1.0), (2, 1, 11, 1.5)], RECORDS)
+    plan = compacted_records(durable(plan_compaction(files)), records)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.runtime import attach, durable, quoted
+from tidemill.runtime import attach, durable, quoted, small
 
 #: Files below this size are small.
 SMALL_BYTES = 16_384
 #: Size that a consolidated file should have.
 TARGET_BYTES = 134_217_728
+#: Up to so many files (below 100 MB), or repeated records (below 50 MB), are sent to all executors.
+FEW_FILES, FEW_REPEATS = 200_000, 500_000
 
 
 def canonical_location(location: Column) -> Column:
@@ -41,16 +43,16 @@ def manifest(files: DataFrame) -> DataFrame:
     return once.select("file_id", "folder", "table_name", "field_column", "file_name", "__first.*")
 
 
-def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, spread: Column, name: str, size: str) -> DataFrame:
-    """Adds `name`: the sum of `value` over the rows of the group up to and including this one, and `size`: how many
-    rows the group has.
+def running_total(df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, spread: Column, name: str, one: str, size: str) -> DataFrame:
+    """Adds `name`: the sum of `value` over the rows of the group up to and including this one, and `size`: the sum of
+    `one` over the group.
 
     `spread` is a column that never falls along `order`. Sums within a stretch of equal `spread` and sums of whole
     stretches are added, so that a group of any size is shared out over its stretches.
     """
     group = list(group)
     stretched = df.withColumn("__stretch", spread)
-    totals = stretched.groupBy(*group, "__stretch").agg(F.sum(value).alias("__total"), F.count("*").alias("__rows"))
+    totals = stretched.groupBy(*group, "__stretch").agg(F.sum(value).alias("__total"), F.sum(one).alias("__rows"))
     ahead = Window.partitionBy(*group).orderBy(F.col("__stretch").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     whole = F.sum("__rows").over(Window.partitionBy(*group)).alias(size)
     offsets = totals.select(*group, "__stretch", F.coalesce(F.sum("__total").over(ahead), F.lit(0)).alias("__offset"), whole)
@@ -69,17 +71,16 @@ def plan_compaction(files: DataFrame, small_bytes: int = SMALL_BYTES, target_byt
     `rewrite` is false and `group_index` null. Files equal in folder (spelt any way), table, field column and name
     are one. An empty table gives no rows.
     """
-    live = manifest(files)
+    live = durable(manifest(files))
     group = ["folder", "table_name", "field_column"]
-    small = live.where(F.col("size_bytes") < small_bytes)
+    tiny = F.col("size_bytes") < small_bytes
+    weighed = live.withColumn("__tiny", F.when(tiny, F.col("size_bytes")).otherwise(0)).withColumn("__one", F.when(tiny, 1).otherwise(0))
     # Stretches of an hour of writing: as many as a folder has hours, however many files it has.
-    summed = running_total(small, group, [F.col("modified").asc_nulls_first(), "file_id"], "size_bytes", F.date_trunc("hour", F.col("modified")), "__bytes", "small_files")
-    together = F.col("small_files") > 1
+    summed = running_total(weighed, group, [F.col("modified").asc_nulls_first(), "file_id"], "__tiny", F.date_trunc("hour", F.col("modified")), "__bytes", "__one", "__small")
+    together = tiny & (F.col("__small") > 1)
     index = F.floor((F.col("__bytes") - F.col("size_bytes")) / F.lit(target_bytes)).cast("long")
-    planned = summed.withColumn("group_index", F.when(together, index)).withColumn("rewrite", together).drop("__bytes")
-    large = live.where(F.col("size_bytes") >= small_bytes)
-    rest = large.withColumn("small_files", F.lit(0).cast("long")).withColumn("group_index", F.lit(None).cast("long")).withColumn("rewrite", F.lit(False))
-    return planned.unionByName(rest)
+    planned = summed.withColumn("small_files", F.when(tiny, F.col("__small")).otherwise(0).cast("long")).withColumn("group_index", F.when(together, index)).withColumn("rewrite", together)
+    return planned.drop("__tiny", "__one", "__bytes", "__small")
 
 
 def _held(plan: DataFrame, records: DataFrame, file_key: str, record_key: str) -> DataFrame:
@@ -100,12 +101,40 @@ def compacted_records(plan: DataFrame, records: DataFrame, file_key: str = "file
     A record in several live files comes from the one with the smallest id, one that is not rewritten first, so that
     no copy of it is written beside it. Records of files that aren't live, or of no listed file, are left out.
     Records with a null id are known by their file and `row_index`; where that is null or missing too, all are kept.
+
+    Plan: only ids, file ids and row numbers are shuffled, to find the ids that occur more than once. The records are
+    read where they are and joined to the plan's files and to those ids; both are sent to the executors if they are
+    few (FEW_FILES, FEW_REPEATS), which is counted first. Records that can't be told apart by file and row, or have no
+    id, are ranked; usually there are none.
     """
-    held = _held(plan, records, file_key, record_key)
-    rank = [F.col("group_index").isNotNull(), F.col(quoted(file_key)), *([F.col("row_index")] if "row_index" in records.columns else [])]
-    ranked = held.withColumn("__rank", F.row_number().over(Window.partitionBy(quoted(record_key), "__own").orderBy(*rank)))
-    rest = [c for c in held.columns if c not in (record_key, "__loose", "__own")]
-    return ranked.where((F.col("__rank") == 1) | F.col("__loose")).select(quoted(record_key), *[quoted(c) for c in rest])
+    plan = plan.select("file_id", "folder", "table_name", "field_column", "group_index")
+    row = F.col("row_index") if "row_index" in records.columns else F.lit(None).cast("int")
+    target = small(plan.withColumnRenamed("file_id", "__file"), FEW_FILES)
+    name = F.col(quoted(record_key))
+    keys = records.select(name.alias("__id"), F.col(quoted(file_key)).alias("__in"), row.alias("__row"))
+    keys = keys.join(target.select("__file", F.col("group_index").isNotNull().alias("__moved")), F.col("__in") == F.col("__file")).drop("__in")
+    named = keys.where(F.col("__id").isNotNull())
+    home = F.min(F.struct("__moved", "__file", "__row")).alias("__home")
+    repeated = named.groupBy("__id").agg(home, F.count("*").alias("__n")).where("__n > 1")
+    repeated = durable(repeated.select(F.col("__id").alias("__again"), F.col("__home.__file").alias("__home"), F.col("__home.__row").alias("__place")))
+    again = small(repeated, FEW_REPEATS)
+    ties = named.join(again, F.col("__id") == F.col("__again")).where((F.col("__file") == F.col("__home")) & F.col("__row").eqNullSafe(F.col("__place")))
+    ties = durable(ties.groupBy("__again").count().where("count > 1").select(F.col("__again").alias("__tie")))
+    held = records.join(target, records[quoted(file_key)] == F.col("__file")).drop("__file")
+    columns = [quoted(record_key), *[quoted(c) for c in held.columns if c != record_key]]
+    both = held.join(again, name == F.col("__again"), "left")
+    kept = both.where(name.isNotNull() & (F.col("__again").isNull() | ((F.col(quoted(file_key)) == F.col("__home")) & row.eqNullSafe(F.col("__place")))))
+    kept = kept.select(*columns)
+    odd = bool(ties.take(1))
+    nameless = bool(keys.where(F.col("__id").isNull()).take(1))
+    if not odd and not nameless:
+        return kept
+    ties = small(ties, FEW_REPEATS)
+    rest = held.join(ties, name == F.col("__tie"), "left_semi").unionByName(held.where(name.isNull()))
+    unnamed = F.when(name.isNull(), F.struct(F.col(quoted(file_key)).alias("file"), row.alias("row")))
+    rank = F.row_number().over(Window.partitionBy(quoted(record_key), "__own").orderBy(F.col("group_index").isNotNull(), quoted(file_key), row))
+    ranked = rest.withColumn("__own", unnamed).withColumn("__loose", name.isNull() & row.isNull()).withColumn("__rank", rank)
+    return kept.join(ties, name == F.col("__tie"), "left_anti").unionByName(ranked.where((F.col("__rank") == 1) | F.col("__loose")).select(*columns))
 
 
 def expected_counts(plan: DataFrame, records: DataFrame, file_key: str = "file_id", record_key: str = "record_id") -> DataFrame:
@@ -128,8 +157,7 @@ def compact(files: DataFrame, records: DataFrame, out: str, small_bytes: int = S
     """
     plan = durable(plan_compaction(files, small_bytes, target_bytes))
     group = ["folder", "table_name", "field_column", "group_index"]
-    chosen = compacted_records(plan, records).where(F.col("group_index").isNotNull())
-    planned = durable(chosen)
+    planned = compacted_records(plan, records).where(F.col("group_index").isNotNull())
     label = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in group[:3]])
     planned.withColumn("__folder", label).withColumn("__group", F.col("group_index")).repartition("__folder", "__group").write.mode("errorifexists").partitionBy("__folder", "__group").parquet(out)
     written = files.sparkSession.read.parquet(out).groupBy(*group).agg(F.count("*").alias("records_written"))

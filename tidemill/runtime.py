@@ -56,6 +56,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A side of a join: sent to all executors if it has at most so many rows, which are counted; otherwise Spark
+    shuffles both sides. `df` should be cheap to count: a table, or `durable`."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 200_000) -> Iterator[pa.Table]:
     """From a partition sorted by `keys`: tables of about `rows` rows in which no group is cut.
 
