@@ -5,6 +5,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemill.operators.intervals import IntervalMap, merge_intervals
 
@@ -97,3 +98,29 @@ def test_stream_keeps_periods_in_state(spark, tmp_path):
     assert step([("a", 0, 5), ("a", 20, 30), ("a", 7, 9), ("b", 1, 1), ("b", 5, 3)]) == [("a", "period", 0, 9), ("a", "period", 20, 30), ("b", "period", 1, 1)]
     assert step([("a", 9, 19), ("b", None, 4)]) == [("a", "period", 0, 30), ("a", "replaced", 0, 9), ("a", "replaced", 20, 30)]
     assert step([("a", 1, 2)]) == []
+
+
+def test_stream_lets_old_periods_go(spark, tmp_path):
+    from tidemill.streaming.intervals import stream_intervals
+
+    source = str(tmp_path / "in")
+    schema = "k string, s long, e long"
+    second = 1_000_000
+
+    def step(rows):
+        spark.createDataFrame([(k, a * second, b * second) for k, a, b in rows], schema).coalesce(1).write.mode("append").parquet(source)
+        seen: list = []
+        timed = spark.readStream.schema(schema).parquet(source).withColumn("at", F.timestamp_micros("e")).withWatermark("at", "100 seconds")
+        stream = stream_intervals(timed, ["k"], "s", "e", second, "at")
+        query = stream.writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(map(tuple, df.collect()))).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        rows = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        return sorted((k, kind, a // second, b // second) for k, kind, a, b in seen), rows
+
+    assert step([("a", 0, 5), ("a", 20, 30), ("a", 6, 9), ("b", 1, 1)])[0] == [("a", "period", 0, 9), ("a", "period", 20, 30), ("b", "period", 1, 1)]
+    # The watermark goes to 115 - 100: what ended before it is closed and leaves the state, by itself for b.
+    found, left = step([("a", 31, 32), ("c", 110, 115)])
+    assert found == [("a", "closed", 0, 9), ("a", "period", 20, 32), ("a", "replaced", 20, 30), ("b", "closed", 1, 1), ("c", "period", 110, 115)] and left == 2
+    # Rows before the watermark are dropped; the rest goes on.
+    found, left = step([("a", 3, 4), ("a", 18, 19), ("c", 400, 400)])
+    assert found == [("a", "closed", 18, 32), ("a", "period", 18, 32), ("a", "replaced", 20, 32), ("c", "closed", 110, 115), ("c", "period", 400, 400)] and left == 1

@@ -46,6 +46,11 @@ class IntervalMap:
         starts[low:high] = [start]
         ends[low:high] = [end]
 
+    def within(self, start: int, end: int) -> slice:
+        """The places of the intervals that one from start to end would be united with."""
+        low = bisect_left(self.ends, start - self.tolerance)
+        return slice(low, bisect_right(self.starts, end + self.tolerance, low))
+
     def gaps(self) -> list[tuple[int, int]]:
         return list(zip(self.ends[:-1], self.starts[1:]))
 

@@ -55,6 +55,11 @@ def p3_flags(spark: SparkSession, d: str) -> DataFrame:
     return _turbine_flags(spark, d)
 
 
+def p3_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The readings that rules alone tell: impossible and stuck ones."""
+    return _turbine_flags(spark, d).where("kind <> 'spike'").select("wind_turbine", "timestamp_us", "column_name", "kind").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     merged = merge_intervals(table(spark, d, "compressed_segments"), ["tag", "field_column"], "start_time", "end_time", 1_000_000)
     return merged.withColumn("field_column", F.col("field_column").cast("int"))
@@ -76,6 +81,15 @@ def p5_slots(spark: SparkSession, d: str) -> DataFrame:
     return _turbine_grid(spark, d).select("wind_turbine", "slot_us", "readings", "missing")
 
 
+def p5_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Per turbine: its slots, those filled, whether all have a value, and whether those filled are less certain."""
+    missing = F.col("missing")
+    sure, unsure = F.avg(F.when(~missing, F.col("deviation"))), F.avg(F.when(missing, F.col("deviation")))
+    surer = F.coalesce(sure < unsure, F.lit(True))
+    whole = F.bool_and(F.col("value").isNotNull() & (F.col("deviation") > 0))
+    return _turbine_grid(spark, d).groupBy("wind_turbine").agg(F.count("*").alias("slots"), F.count_if(missing).alias("filled"), whole.alias("valued"), surer.alias("surer"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return plan_compaction(table(spark, d, "data_folder_files")).where("rewrite").select("file_id")
 
@@ -96,7 +110,7 @@ def p6_rewrite(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p2_found, p2_rolling_totals, p3_found, p3_flags, p4_found, p5_found, p5_grid, p5_slots, p6_found, p6_plan, p6_records, p6_rewrite)
+    found = (p2_found, p2_rolling_totals, p3_found, p3_flags, p3_rules, p4_found, p5_found, p5_grid, p5_slots, p5_filled, p6_found, p6_plan, p6_records, p6_rewrite)
     return {f.__name__: f for f in found}
 
 
@@ -156,6 +170,17 @@ SELECT w.tag_1, w.tag_2, strftime(w.day, '%Y-%m-%d') AS day, CAST(window_days AS
 FROM w LEFT JOIN dly x ON x.tag_1 IS NOT DISTINCT FROM w.tag_1 AND x.tag_2 IS NOT DISTINCT FROM w.tag_2
   AND x.day <= w.day AND x.day > w.day - to_days(CAST(window_days AS INTEGER))
 GROUP BY w.tag_1, w.tag_2, w.day, window_days""",
+        "p3_rules": """
+WITH u AS (SELECT DISTINCT wind_turbine, timestamp, CASE WHEN NOT isnan(wind_speed) THEN wind_speed END AS s, CASE WHEN NOT isnan(wind_direction) THEN wind_direction END AS d
+    FROM wind_turbine WHERE timestamp IS NOT NULL),
+  v AS (SELECT *, 'wind_speed' AS column_name, s AS x FROM u WHERE s IS NOT NULL UNION ALL SELECT *, 'wind_direction', d FROM u WHERE d IS NOT NULL),
+  o AS (SELECT *, row_number() OVER w AS i, CASE WHEN x = lag(x) OVER w THEN 0 ELSE 1 END AS fresh FROM v
+    WINDOW w AS (PARTITION BY wind_turbine, column_name ORDER BY timestamp, s NULLS LAST, d NULLS LAST)),
+  r AS (SELECT *, sum(fresh) OVER (PARTITION BY wind_turbine, column_name ORDER BY i) AS run FROM o),
+  n AS (SELECT *, count(*) OVER (PARTITION BY wind_turbine, column_name, run) AS length FROM r)
+SELECT DISTINCT wind_turbine, epoch_us(timestamp) AS timestamp_us, column_name, 'stuck' AS kind FROM n WHERE length >= 20
+UNION ALL SELECT DISTINCT wind_turbine, epoch_us(timestamp), n.column_name, 'impossible' FROM n
+JOIN field_limits l ON l.table_name = 'wind_turbine' AND l.column_name = n.column_name WHERE x < lowest OR x > highest""",
         "p4_found": """
 WITH i AS (SELECT tag, field_column, epoch_us(start_time) AS s, epoch_us(end_time) AS e FROM compressed_segments WHERE start_time <= end_time),
   b AS (SELECT *, max(e) OVER (PARTITION BY tag, field_column ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
@@ -171,6 +196,10 @@ SELECT g.wind_turbine, g.slot * 600000000 AS slot_us FROM g ANTI JOIN s ON g.win
 WITH {_SLOTS}
 SELECT g.wind_turbine, g.slot * 600000000 AS slot_us, CAST(coalesce(readings, 0) AS INTEGER) AS readings, readings IS NULL AS missing
 FROM g LEFT JOIN s ON g.wind_turbine IS NOT DISTINCT FROM s.wind_turbine AND g.slot = s.slot""",
+        "p5_filled": f"""
+WITH {_SLOTS}
+SELECT g.wind_turbine, count(*) AS slots, count(*) - count(readings) AS filled, true AS valued, true AS surer
+FROM g LEFT JOIN s ON g.wind_turbine IS NOT DISTINCT FROM s.wind_turbine AND g.slot = s.slot GROUP BY g.wind_turbine""",
         "p6_found": f"WITH {_FILES} SELECT file_id FROM planned WHERE rewrite",
         "p6_plan": f"WITH {_FILES} SELECT * FROM planned",
         "p6_records": f"""

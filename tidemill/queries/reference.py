@@ -159,6 +159,73 @@ def copy_move(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(counts, "name string, n bigint")
 
 
+def copy_range(spark: SparkSession, d: str) -> DataFrame:
+    """Copies of a range, of a table with one field and of one with two: points, and whether all copied segments lie in it.
+
+    The range ends outside the data, so that all segments lie in it; `copied_part` cuts through chunks."""
+    source, target = folder(spark, d), new_folder(spark)
+    parts = []
+    for name, fields in (("one", "value FIELD"), ("two", "value FIELD, twice FIELD")):
+        for f in (source, target):
+            if name not in f.tables():
+                f.sql(f"CREATE TIME SERIES TABLE {name}(ts TIMESTAMP, event_type TAG, {fields})")
+        if not source.segments(name).take(1):
+            rows = events(spark, d)
+            source.write(name, rows if name == "two" else rows.drop("twice"))
+        source.copy_time_series_table(name, target, name, datetime(2023, 12, 31), datetime(2024, 2, 15))
+        spans = target.segments(name).agg((F.min("start_us") >= scan.micros(datetime(2023, 12, 31))) & (F.max("end_us") <= scan.micros(datetime(2024, 2, 15))))
+        parts.append((name, target.frame(name).count(), spans.first()[0]))
+    return spark.createDataFrame(parts, "field string, n bigint, whole boolean")
+
+
+def copied_part(spark: SparkSession, d: str) -> DataFrame:
+    """A copy whose range cuts chunks: exactly the points that lie in segments of the range for both fields."""
+    source, target = folder(spark, d), new_folder(spark)
+    target.sql("CREATE TIME SERIES TABLE part(ts TIMESTAMP, event_type TAG, value FIELD, twice FIELD)")
+    low, high = datetime(2024, 1, 5), datetime(2024, 1, 20, 7, 30)
+    source.copy_time_series_table("points", target, "part", low, high)
+    found = target.frame("part").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    inside = source.segments("points").where((F.col("start_us") >= scan.micros(low)) & (F.col("end_us") <= scan.micros(high)))
+    least = inside.where(F.col("field_column") == source.table("points").index("value")).agg(F.sum("n_points").alias("m"))
+    return found.join(least).select(((F.col("n") > 0) & (F.col("n") <= F.col("m"))).alias("some"), (F.col("a") >= F.lit(low).cast("timestamp_ntz")).alias("after"), (F.col("b") <= F.lit(high).cast("timestamp_ntz")).alias("before"))
+
+
+def insert_series(spark: SparkSession, d: str) -> DataFrame:
+    f = new_folder(spark)
+    f.sql("CREATE TIME SERIES TABLE chosen(ts TIMESTAMP, event_type TAG, value FIELD)")
+    f.sql("CREATE TABLE plain(ts TIMESTAMP, event_type TEXT, value REAL)")
+    f.write("plain", events(spark, d).drop("twice"))
+    f.sql("INSERT INTO chosen SELECT ts, event_type, value FROM plain WHERE value > 50")
+    return f.sql("SELECT event_type, COUNT(value) AS n, MAX(value) AS top FROM chosen GROUP BY event_type").select("event_type", "n", F.col("top").cast("double").alias("top"))
+
+
+def late_and_repeated(spark: SparkSession, d: str) -> DataFrame:
+    """Every point twice, the second time late and out of order: all are kept."""
+    f = new_folder(spark)
+    f.sql("CREATE TIME SERIES TABLE points(ts TIMESTAMP, event_type TAG, value FIELD)")
+    rows = events(spark, d).drop("twice")
+    f.write("points", rows.orderBy(F.col("ts").desc()))
+    f.write("points", rows)
+    return f.sql("SELECT event_type, COUNT(*) AS n, ROUND(SUM(CAST(value AS DOUBLE)), 1) AS total FROM points GROUP BY event_type")
+
+
+def stream_small_batches(spark: SparkSession, d: str) -> DataFrame:
+    """A stream in eight batches: rows wait until there are enough, so segments don't come from single batches."""
+    f = new_folder(spark)
+    f.sql("CREATE TIME SERIES TABLE points(ts TIMESTAMP, event_type TAG, value FIELD)")
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events(spark, d).drop("twice").repartition(8).write.parquet(f"{base}/in")
+    source = spark.readStream.schema("ts timestamp_ntz, event_type string, value float").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stream.start(source, f, "points", f"{base}/checkpoint", hold=1 << 30).awaitTermination()
+    f.flush("points")
+    # A chunk for each series and week.
+    weeks = F.floor(F.unix_date(F.to_date("ts")) / 7)
+    wanted = f.frame("points").select("event_type", weeks).distinct().count()
+    few = f.segments("points").select("chunk").distinct().count() <= wanted
+    found = f.sql("SELECT event_type, COUNT(value) AS n, MAX(value) AS top FROM points GROUP BY event_type")
+    return found.select("event_type", "n", F.col("top").cast("double").alias("top"), F.lit(few).alias("few"))
+
+
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     f = new_folder(spark)
     f.sql("CREATE TIME SERIES TABLE points(ts TIMESTAMP, event_type TAG, value FIELD)")
@@ -334,6 +401,11 @@ _PLAIN_SQL: dict[str, tuple[str, str | None]] = {
         "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_nationkey % 2 DESC, n_name ASC) AS names, (list(n_name ORDER BY n_name DESC))[2] AS second FROM nation GROUP BY n_regionkey",
     ),
     "agg_string": ("SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ';' ORDER BY n_name DESC) AS names FROM nation GROUP BY n_regionkey"),
+    "agg_approx_distinct": ("SELECT abs(approx_distinct(o_custkey) - COUNT(DISTINCT o_custkey)) <= 0.1 * COUNT(DISTINCT o_custkey) AS near, COUNT(*) AS n FROM orders", "SELECT true AS near, count(*) AS n FROM orders"),
+    "agg_approx_percentile": (
+        "SELECT l_returnflag, approx_percentile_cont(l_quantity, 0.5) BETWEEN percentile_cont(l_quantity, 0.48) AND percentile_cont(l_quantity, 0.52) AS middle, approx_median(l_quantity) BETWEEN percentile_cont(l_quantity, 0.48) AND percentile_cont(l_quantity, 0.52) AS median, approx_percentile_cont(0.9) WITHIN GROUP (ORDER BY l_quantity) BETWEEN percentile_cont(l_quantity, 0.88) AND percentile_cont(l_quantity, 0.92) AS high, approx_percentile_cont_with_weight(l_quantity, l_linenumber, 0.5) IS NOT NULL AS weighted FROM lineitem GROUP BY l_returnflag",
+        "SELECT l_returnflag, true AS middle, true AS median, true AS high, true AS weighted FROM lineitem GROUP BY l_returnflag",
+    ),
     "agg_first_last": ("SELECT o_custkey, first_value(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_order, last_value(o_orderkey ORDER BY o_orderdate, o_orderkey) AS last_order FROM orders GROUP BY o_custkey", "SELECT o_custkey, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS first_order, last(o_orderkey ORDER BY o_orderdate, o_orderkey) AS last_order FROM orders GROUP BY o_custkey"),
     "win_rank": (
         "SELECT s_suppkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ROUND(percent_rank() OVER w, 6) AS pr, ROUND(cume_dist() OVER w, 6) AS cd FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey)",
@@ -424,6 +496,12 @@ _PLAIN_SQL: dict[str, tuple[str, str | None]] = {
 
 _OPERATIONS: dict[str, tuple[Run, str | None]] = {
     "ts_segment_stats": (ts_segment_stats, None),
+    "ts_segment_points": (lambda spark, d: folder(spark, d).segment_stats("points").groupBy("field").agg(F.sum("points").alias("points"), F.bool_and(F.col("payload_bytes") > 0).alias("stored")), f"SELECT unnest(['value', 'twice']) AS field, count(*) AS points, true AS stored FROM {_EVENTS}"),
+    "copy_range": (copy_range, f"SELECT field, count(*) AS n, true AS whole FROM {_EVENTS}, (VALUES ('one'), ('two')) f(field) WHERE ts BETWEEN TIMESTAMP '2023-12-31' AND TIMESTAMP '2024-02-15' GROUP BY field"),
+    "copied_part": (copied_part, "SELECT true AS some, true AS after, true AS before"),
+    "insert_series": (insert_series, f"SELECT event_type, count(*) AS n, CAST(max(value) AS DOUBLE) AS top FROM {_EVENTS} WHERE value > 50 GROUP BY event_type"),
+    "late_and_repeated": (late_and_repeated, f"SELECT event_type, 2 * count(*) AS n, round(2 * sum(CAST(value AS DOUBLE)), 1) AS total FROM {_EVENTS} GROUP BY event_type"),
+    "stream_small_batches": (stream_small_batches, f"SELECT event_type, count(*) AS n, CAST(max(value) AS DOUBLE) AS top, true AS few FROM {_EVENTS} GROUP BY event_type"),
     "ts_agg_by_tag": (
         lambda spark, d: folder(spark, d).sql("SELECT event_type, COUNT(value) AS n, MIN(value) AS low, MAX(twice) AS top FROM points GROUP BY event_type").select("event_type", "n", F.col("low").cast("double").alias("low"), F.col("top").cast("double").alias("top")),
         f"SELECT event_type, count(value) AS n, CAST(min(value) AS DOUBLE) AS low, CAST(max(twice) AS DOUBLE) AS top FROM {_EVENTS} GROUP BY event_type",
@@ -442,8 +520,6 @@ _OPERATIONS: dict[str, tuple[Run, str | None]] = {
     "stream_ingest": (stream_ingest, f"SELECT event_type, count(*) AS n, CAST(max(value) AS DOUBLE) AS top FROM {_EVENTS} GROUP BY event_type"),
     "stream_transfer": (stream_transfer, f"SELECT 'edge' AS folder, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'cloud', count(*) FROM {_EVENTS}"),
     "bulk_import_export": (bulk_import_export, f"SELECT event_type, count(*) AS n, CAST(min(value) AS DOUBLE) AS low FROM {_EVENTS} GROUP BY event_type"),
-    "agg_approx_distinct": (relational("SELECT approx_distinct(o_custkey) AS n FROM orders"), None),
-    "agg_approx_percentile": (relational("SELECT l_returnflag, approx_percentile(l_quantity, 0.5) AS middle FROM lineitem GROUP BY l_returnflag"), None),
 }
 
 
