@@ -478,7 +478,7 @@ _PLAIN_SQL: dict[str, tuple[str, str | None]] = {
     ),
     "fn_array_more": (
         "SELECT n_nationkey, array_has_all([1, 2, n_regionkey], [2, 3]) AS ha, array_to_string(array_slice(['a', 'b', n_name, 'd'], 2, 3), ',') AS sl, array_to_string(array_pop_back(['a', n_name, 'b']), ',') AS pb, array_to_string(array_pop_front(['a', n_name]), ',') AS pf, array_length(array_positions([1, n_regionkey, 1], 1)) AS ps, array_to_string(array_resize([n_name], 3, 'z'), ',') AS rs, array_length(range(0, n_nationkey, 3)) AS rg, array_to_string(array_remove(['x', n_name, 'x'], 'x'), ',') AS rm, array_to_string(array_replace_all(['x', n_name, 'x'], 'x', 'y'), ',') AS rp, array_distance([1.0, n_regionkey], [4.0, n_regionkey + 4]) AS di, [n_nationkey, 5][1] AS br FROM nation",
-        "SELECT n_nationkey, n_regionkey = 3 AS ha, 'b,' || n_name AS sl, 'a,' || n_name AS pb, n_name AS pf, CAST(CASE WHEN n_regionkey = 1 THEN 3 ELSE 2 END AS INTEGER) AS ps, n_name || ',z,z' AS rs, CAST(len(range(0, n_nationkey, 3)) AS INTEGER) AS rg, n_name || ',x' AS rm, 'y,' || n_name || ',y' AS rp, 5.0::DOUBLE AS di, 5 AS br FROM nation",
+        "SELECT n_nationkey, n_regionkey = 3 AS ha, 'b,' || n_name AS sl, 'a,' || n_name AS pb, n_name AS pf, CAST(CASE WHEN n_regionkey = 1 THEN 3 ELSE 2 END AS INTEGER) AS ps, n_name || ',z,z' AS rs, CAST(len(range(0, n_nationkey, 3)) AS INTEGER) AS rg, n_name || ',x' AS rm, 'y,' || n_name || ',y' AS rp, 5.0::DOUBLE AS di, n_nationkey AS br FROM nation",
     ),
     "fn_map": (
         "SELECT n_nationkey, element_at(map(['a', 'b'], [n_nationkey, 2]), 'a') AS a, array_join(map_keys(MAP {'a': 1, 'b': 2}), ',') AS k, get_field(named_struct('y', n_name), 'y') AS y, named_struct('x', n_regionkey).x AS x, element_at(map_from_arrays(array('p'), array(n_name)), 'p') AS p FROM nation",
