@@ -40,7 +40,8 @@ def mix_sources(df: DataFrame, key: str, source: str, size: Column, targets: Dat
     `copies`: the key, `source`, `size`, `rate` double, `copies` int (0 to max_repeats). Records of unlisted or null
     sources aren't in it; those of size 0 or null size get no copy. `report`: `source`, `target_weight`,
     `max_repeats`, `records`, `size`, `target_size` double, `short` boolean (even max_repeats of every record stay
-    below the target), `copies`, `mixed_size`, `share` (of all that was mixed; null if nothing was). A source without
+    below the target), `converged` boolean (the dual of the source was solved to `tolerance` within `iterations` steps; if
+    not, its rates are off the closest ones, but the rounding still meets the target), `copies`, `mixed_size`, `share` (of all that was mixed; null if nothing was). A source without
     records has 0. A short source contributes max_repeats of everything, the others their target of T.
 
     Method: entropy balancing. Among all rates between 0 and max_repeats whose sizes add up to the target, those
@@ -144,6 +145,6 @@ def mix_sources(df: DataFrame, key: str, source: str, size: Column, targets: Dat
     lines = []
     for s in listed:
         c, t = (int(sums[s]["c"]), int(sums[s]["t"])) if s in sums else (0, 0)
-        lines.append((listed[s]["source"], weights[s], caps[s], have[s][0], have[s][1], target[s], short[s], c, t, t / mixed if mixed else None))
-    report = spark.createDataFrame(lines, "source string, target_weight double, max_repeats int, records bigint, size bigint, target_size double, short boolean, copies bigint, mixed_size bigint, share double")
+        lines.append((listed[s]["source"], weights[s], caps[s], have[s][0], have[s][1], target[s], short[s], s not in open_, c, t, t / mixed if mixed else None))
+    report = spark.createDataFrame(lines, "source string, target_weight double, max_repeats int, records bigint, size bigint, target_size double, short boolean, converged boolean, copies bigint, mixed_size bigint, share double")
     return Mix(copies, report)

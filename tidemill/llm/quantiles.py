@@ -224,7 +224,8 @@ def sketch_groups(df: DataFrame, keys: Sequence[str], columns: Sequence[str], k:
     empty table gives no rows.
 
     Each task summarises what it reads, `held` rows at a time, so a group of any size leaves a task as a few
-    thousand numbers; summaries are merged by group, in two steps where there are more than `fan_in` tasks.
+    thousand numbers; summaries are merged by group, in two steps where there are more than `fan_in` tasks. They are
+    merged in an order of their own, not that of their arrival, so the same summaries give the same result again.
     """
     keys, columns = list(keys), list(columns)
     rows = df.dropDuplicates() if dedupe else df
@@ -330,7 +331,7 @@ def _merged(sketches: DataFrame, names: list[str]) -> DataFrame:
             out.append((key, *_closed(held, single, count)))
             yield flush()
 
-    return sketches.select(*by, "n", "sketch").repartition(*by).sortWithinPartitions(*by).mapInArrow(merge, ddl)
+    return sketches.select(*by, "n", "sketch").repartition(*by).sortWithinPartitions(*by, "n", F.xxhash64("sketch")).mapInArrow(merge, ddl)
 
 
 def _closed(blobs: list[bytes], single: bool, _: int) -> tuple[int, bytes]:
