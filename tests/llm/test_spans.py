@@ -33,9 +33,9 @@ def brute(texts, length):
     return pairs, cover
 
 
-def check(spark, texts, length=LONG):
+def check(spark, texts, length=LONG, hot=spans.HOT):
     df = spark.createDataFrame([(i, t, 0) for i, t in texts.items()], "doc long, body string, id int").repartition(3)
-    found = shared_spans(df, "doc", "body", length)
+    found = shared_spans(df, "doc", "body", length, hot)
     pairs, cover = brute(texts, length)
     rows = found.pairs().collect()
     assert {(r["id_a"], r["id_b"]) for r in rows} == pairs and len(rows) == len(pairs)
@@ -99,6 +99,30 @@ def test_groups_beyond_a_task(spark, monkeypatch):
     check(spark, texts)
 
 
+@pytest.mark.parametrize(("hot", "parts"), [(3, 256), (3, 2), (12, 5), (25, 1)])
+def test_hot_anchors_are_shared_out(spark, monkeypatch, hot, parts):
+    """Boilerplate with own text around it, repeated in a text, in whole copies and with changed characters."""
+    monkeypatch.setattr(spans, "PARTS", parts)
+    rng = random.Random(hot)
+    head, tail = words(rng, 130), words(rng, 70)
+    texts = {i: words(rng, 20 + i) + head + words(rng, 30 + i % 7) + tail for i in range(40)}
+    texts |= {50 + i: head[: 3 * i] + "#" + head[3 * i + 1 :] for i in range(12)}
+    texts |= {70 + i: texts[1] for i in range(8)}
+    texts[90] = head + "|" + head + "|" + tail
+    texts |= {100 + i: words(rng, 120) for i in range(10)}
+    check(spark, texts, hot=hot)
+
+
+def test_hot_anchors_are_found(spark):
+    rng = random.Random(9)
+    head = words(rng, 60)
+    rows = [(i, words(rng, 50) + head) for i in range(50)] + [(100 + i, words(rng, 90)) for i in range(20)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    some, all_ = spans._hot_anchors(texts, 70, Plan(LONG), 40), spans._hot_anchors(texts, 70, Plan(LONG), 0)
+    assert 0 < len(some) < 6 and len(all_) > 60 and set(some) <= set(all_)
+    assert len(spans._hot_anchors(texts, 70, Plan(LONG), 70)) == 0
+
+
 @pytest.mark.parametrize("cuts", [1, 2, 3, 7])
 def test_bounded_groups_keep_all_rows(cuts):
     keys = [0] * 2 + [5] * 11 + [6] + [7] * 3 + [9] * 20 + [11]

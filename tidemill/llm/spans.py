@@ -18,6 +18,9 @@ FEW_IDS = 1_000_000
 #: Occurrences of one anchor that are compared with each other in one task; more are compared by a shuffle.
 CLOSE = 100_000
 
+#: An anchor with more occurrences is hot: they are shared out over so many tasks.
+HOT, PARTS = 1_000_000, 256
+
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -192,15 +195,25 @@ def _mix(values: np.ndarray) -> np.ndarray:
 _SETTLED = "key bigint, id bigint, at int, more int, class bigint, settled boolean"
 
 
-def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared_anchors(batches: Iterator[pa.RecordBatch], hot: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Of a partition sorted by key: occurrences whose windows may occur in another text.
 
+    Those of hot anchors, of which a task has only a part, are passed on undecided: `settled` null, `class` their whole.
+
     An occurrence is `settled` if all that may share a window with it have the very same windows; `class` then names
     their texts. The rest is to be compared character by character.
     """
     for table, complete in bounded_groups(batches, "key", LANES, 4 * CLOSE, 1_000_000):
         key, ids = int64(table.column("key")).view(np.uint64), int64(table.column("id"))
         anchor = key >> np.uint64(LANES)
+        many = np.isin(anchor, hot)
+        if many.any():
+            rows = np.flatnonzero(many)
+            yield _occurrences(table, rows, int64(table.column("whole"))[rows], None)
+            rows = np.flatnonzero(~many)
+            table, key, ids, anchor = table.take(pa.array(rows)), key[rows], ids[rows], anchor[rows]
+            if not len(rows):
+                continue
         if not complete:
             yield _occurrences(table, np.arange(table.num_rows), np.zeros(table.num_rows, np.int64), np.zeros(table.num_rows, bool))
             continue
@@ -247,10 +260,10 @@ def _begins(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(change)
 
 
-def _occurrences(table: pa.Table, rows: np.ndarray, names: np.ndarray, settled: np.ndarray) -> pa.RecordBatch:
+def _occurrences(table: pa.Table, rows: np.ndarray, names: np.ndarray, settled: np.ndarray | None) -> pa.RecordBatch:
     taken = table.select(["key", "id", "at", "more"]).take(pa.array(rows)).combine_chunks()
     columns = [c.chunk(0) if c.num_chunks == 1 else pa.concat_arrays(c.chunks) for c in taken.columns]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(names), pa.array(settled)], names=["key", "id", "at", "more", "class", "settled"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array(names), pa.nulls(len(rows), pa.bool_()) if settled is None else pa.array(settled)], names=["key", "id", "at", "more", "class", "settled"])
 
 
 def bounded_groups(batches: Iterator[pa.RecordBatch], key: str, shift: int, rows: int, most: int) -> Iterator[tuple[pa.Table, bool]]:
@@ -297,6 +310,51 @@ def bounded_groups(batches: Iterator[pa.RecordBatch], key: str, shift: int, rows
         yield from out
 
 
+def _hot_anchors(texts: DataFrame, count: int, plan: Plan, hot: int) -> np.ndarray:
+    """Anchors of which there are probably more than `hot` occurrences, counted in a sample of the texts.
+
+    It only says what is shared out over tasks: the result doesn't depend on it. Of fewer texts than `hot` there are
+    none. Of the sampled rows each of the list takes hot / 64, so the list is short whatever the texts.
+    """
+    if count <= hot:
+        return np.zeros(0, np.uint64)
+    # An anchor at the limit is seen about 1,000 times.
+    one_in = max(1, min(64, hot // 1000))
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(one_in)) == 0)
+    seen = some.mapInArrow(lambda b: _anchor_rows(b, plan), "key bigint, id bigint, at int, more int, whole bigint")
+    often = seen.groupBy(F.shiftrightunsigned("key", LANES).alias("anchor")).count().where(F.col("count") > hot / one_in)
+    return np.sort(np.array([r["anchor"] for r in often.collect()], np.uint64))
+
+
+def _spread(rows: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Rows put together by anchor, those of hot ones by anchor and part of the texts, in order of their key."""
+    anchor = F.shiftrightunsigned("key", LANES)
+    if not len(hot):
+        return rows.repartition(anchor).sortWithinPartitions("key")
+    part = F.when(anchor.isin(*hot.tolist()), F.pmod(F.xxhash64("id"), F.lit(PARTS))).otherwise(-1)
+    return rows.repartition(anchor, part).sortWithinPartitions("key")
+
+
+def _decided(shared: DataFrame) -> DataFrame:
+    """Occurrences of hot anchors decided like the others, by their variants: all with the same windows are one.
+
+    What a variant stands for is counted over all tasks; lanes, at most 4 x 63 of an anchor, tell whether its windows
+    occur in another text, and whether in another variant. Only variants of which that is so are joined back.
+    """
+    open_ = shared.where("settled IS NULL")
+    texts = open_.select("key", F.col("class").alias("whole"), "id").distinct()
+    variants = durable(texts.groupBy("key", "whole").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.bit_xor(F.xxhash64("id")).alias("name")))
+    lanes = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("key", 6 * k).bitwiseAND(F.lit(63)).alias("lane")) for k in range(4)])
+    spread = variants.select("*", F.shiftrightunsigned("key", LANES).alias("anchor"), F.inline(lanes)).where("lane > 0")
+    totals = spread.groupBy("anchor", "k", "lane").agg((F.min("a") != F.max("b")).alias("multi"), (F.min("whole") != F.max("whole")).alias("differ")).where("multi")
+    totals = totals.select(F.col("anchor").alias("__anchor"), F.col("k").alias("__k"), F.col("lane").alias("__lane"), "differ")
+    same = [F.col("anchor") == F.col("__anchor"), F.col("k") == F.col("__k"), F.col("lane") == F.col("__lane")]
+    kept = spread.join(_small(totals), same).groupBy("key", "whole").agg((~F.bool_or("differ")).alias("__pure"), F.first("name").alias("__name"))
+    kept = _small(kept.select(F.col("key").alias("__key"), F.col("whole").alias("__whole"), "__pure", "__name"))
+    found = open_.join(kept, (F.col("key") == F.col("__key")) & (F.col("class") == F.col("__whole")))
+    return shared.where("settled IS NOT NULL").unionByName(found.select("key", "id", "at", "more", F.col("__name").alias("class"), F.col("__pure").alias("settled")))
+
+
 _CASES = "span boolean, id bigint, class bigint, start int, stop int, sure boolean"
 
 
@@ -391,8 +449,8 @@ class Shared:
         return a.join(b, (F.col("class") == F.col("__class")) & (F.col("id_a") < F.col("id_b"))).select("id_a", "id_b").distinct()
 
 
-def shared_spans(df: DataFrame, key: str, text: str, length: int = 200) -> Shared:
-    """Runs of at least `length` characters (code points, compared exactly) that occur in more than one text.
+def shared_spans(df: DataFrame, key: str, text: str, length: int = 200, hot: int = HOT) -> Shared:
+    """Runs of at least `length` characters (code points) that occur in more than one text.
 
     A span is a maximal stretch of a text each of whose characters lies in such a run. Repetition within one text
     doesn't count. Null, empty and shorter texts share nothing, but are in the report; texts may be of any length.
@@ -403,8 +461,14 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 200) -> Share
     the hashes of all windows of a text are taken, and about one in 50 is an anchor. Anchors are shuffled by hash,
     with a hash of all characters of the windows they stand for. Where all texts that may share a window agree in
     all of them, that settles it; the others are fetched with their characters and compared window by window.
-    Shared windows are joined to maximal spans. Nothing is broadcast but lists of at most a million ids; texts in
-    classes of any size are found without pairs.
+    Shared windows are joined to maximal spans. Nothing is broadcast but lists of at most a million ids (below 60 MB);
+    texts in classes of any size are found without pairs. Anchors with more than `hot` occurrences are shared out over
+    tasks, so that a text that a third of all records quote is no one's task alone.
+
+    Exactness: equal windows always count as equal. Unequal ones never do where characters are compared; settled
+    anchors, hot ones and groups that are too large for a task take windows for equal if the 64-bit hash of their
+    characters (of settled ones: of all their characters, beside 40 bits of the anchor's) is, whole copies if their
+    MD5 is.
     """
     plan = Plan(length)
     rows = df.select(F.col(quoted(key)).cast("bigint").alias("id"), F.col(quoted(text)).alias("text")).where("id IS NOT NULL")
@@ -416,8 +480,10 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 200) -> Share
     long = long.join(_small(again), "id", "left_anti")
 
     found = long.mapInArrow(lambda b: _anchor_rows(b, plan), "key bigint, id bigint, at int, more int, whole bigint")
-    placed = found.repartition(F.shiftright("key", LANES)).sortWithinPartitions("key")
-    shared = durable(placed.mapInArrow(_shared_anchors, _SETTLED))
+    often = _hot_anchors(long, sized.count(), plan, hot)
+    shared = durable(_spread(found, often).mapInArrow(lambda b: _shared_anchors(b, often), _SETTLED))
+    if len(often):
+        shared = durable(_decided(shared))
     mixed = shared.where("NOT settled")
     places = mixed.groupBy("id").agg(F.collect_list(F.struct("key", "at", "more")).alias("places"))
     wanted = long.join(_small(mixed.select("id").distinct()), "id", "left_semi").join(places, "id")
@@ -438,15 +504,18 @@ def shared_spans(df: DataFrame, key: str, text: str, length: int = 200) -> Share
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, complete in bounded_groups(batches, "key", LANES, 4_000, CLOSE):
-            # Parts of oversized groups are gone through in steps of bounded memory.
-            if complete:
-                yield from _compare(table, plan, True)
-            else:
-                for a in range(0, table.num_rows, 4_000):
-                    yield from _compare(table.slice(a, 4_000), plan, False)
+            # Parts of oversized groups, and of hot ones, are gone through in steps of bounded memory.
+            many = np.isin(int64(table.column("key")).view(np.uint64) >> np.uint64(LANES), often)
+            if not complete:
+                many[:] = True
+            for whole in (True, False):
+                rows = np.flatnonzero(many != whole)
+                some = table if len(rows) == table.num_rows else table.take(pa.array(rows)).combine_chunks()
+                for a in range(0, len(rows), len(rows) if whole else 4_000):
+                    yield from _compare(some.slice(a, len(rows) if whole else 4_000), plan, whole)
 
     around = wanted.select("id", "text", "places").mapInArrow(surroundings, "key bigint, id bigint, `from` int, around string")
-    cases = durable(around.repartition(F.shiftright("key", LANES)).sortWithinPartitions("key").mapInArrow(compare, _CASES))
+    cases = durable(_spread(around, often).mapInArrow(compare, _CASES))
     unsure = cases.where("NOT sure")
     multi = unsure.groupBy("class").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select(F.col("class").alias("__class"))
     checked = unsure.join(multi, F.col("class") == F.col("__class"), "left_semi")
