@@ -5,7 +5,7 @@ import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
-from tidemill.compression.segments import MOST_RESIDUALS, compress, decompress, pack_floats, pack_times, unpack_floats, unpack_times
+from tidemill.compression.segments import MOST_RESIDUALS, coarse, compress, decompress, pack_floats, pack_times, unpack_floats, unpack_times
 from tidemill.errors import InvalidArgument
 from tidemill.types import CONSTANT, LINEAR, XOR, ErrorBound
 
@@ -101,3 +101,17 @@ def test_bounds_are_checked():
             ErrorBound.percent(wrong)
     near_zero = ErrorBound.percent(10)
     assert near_zero.holds(np.array([0.0, 1e-30]), np.array([1e-30, 1.05e-30])).tolist() == [False, True]
+
+
+@pytest.mark.parametrize("bound", [ErrorBound.absolute(0.5), ErrorBound.percent(2)])
+def test_values_are_given_again_within_the_bound(bound):
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 8, 17, 500):
+        values = (100 + np.cumsum(rng.normal(0, 0.15, n))).astype(np.float32)
+        if n > 8:
+            values[[2, 5]] = np.nan, np.inf
+        found = coarse(values, bound)
+        assert len(found) == n and bound.holds(values, found).all()
+    assert (found[1:] == found[:-1]).mean() > 0.5
+    assert len(pack_floats(found)) < 0.7 * len(pack_floats(values))
+    assert coarse(values, ErrorBound.lossless()).tobytes() == values.tobytes()

@@ -427,6 +427,25 @@ def test_sql_of_other_kinds(folder):
     assert folder.sql("SELECT 1 AS one").first()["one"] == 1
 
 
+def test_statements_for_a_cluster(folder, spark):
+    with open_memory(spark) as other, open_memory(spark) as bare:
+        other.sql(DDL)
+        other.write("series", points(spark))
+        folder.join(other.url)
+        folder.sql("TRUNCATE CLUSTER series")
+        assert folder.frame("series").count() == other.frame("series").count() == 0
+        folder.sql("VACUUM CLUSTER series RETAIN 0")
+        assert not folder.files.list("tables/series/data") and not other.files.list("tables/series/data")
+        folder.write("series", points(spark))
+        # A node without the table: nothing is done anywhere.
+        folder.join(bare.url)
+        with pytest.raises(InvalidArgument, match="does not exist"):
+            folder.sql("TRUNCATE CLUSTER series")
+        assert folder.frame("series").count() == 6
+        folder.sql("TRUNCATE series")
+        assert folder.frame("series").count() == 0
+
+
 def test_reading_checks_its_arguments(folder):
     for call in (
         lambda: folder.read_time_series_table("series", ["none"]),

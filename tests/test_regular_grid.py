@@ -143,3 +143,11 @@ def test_empty_only_infinite_and_bad_arguments(spark):
 def test_running_median():
     v = np.array([1.0, 100.0, 2.0, 3.0, 4.0])
     assert running_median(v, 3).tolist() == [1.0, 2.0, 3.0, 3.0, 4.0]
+
+
+def test_a_date_far_off_comes_in_pieces(spark):
+    rows = [("a", START, 1.0), ("a", START + dt.timedelta(seconds=700), 2.0), ("a", START + dt.timedelta(days=9000), 3.0), ("b", START, 1.0)]
+    found = regular_grid(spark.createDataFrame(rows, "k string, t timestamp_ntz, v double"), ["k"], "t", "v")
+    assert found.groupBy("k").count().orderBy("k").collect() == [("a", 9000 * 144 + 1), ("b", 1)]
+    assert found.where("readings > 0").count() == 4 and found.where("value IS NULL").count() == 0
+    assert found.select("k", "slot_us").distinct().count() == 9000 * 144 + 2

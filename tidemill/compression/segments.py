@@ -73,7 +73,8 @@ def unpack_times(start: int, count: int, step: int | None, data: bytes | None) -
 
 
 def coarse(values: np.ndarray, bound: ErrorBound) -> np.ndarray:
-    """Values within the bound whose lowest bits are zero, as many as the bound allows. NaN and infinities stay."""
+    """Values within the bound that take few bytes: the lowest bits are zero, as many as the bound allows, and a value
+    is given again where the next ones, up to seven, are within the bound of it. NaN and infinities stay."""
     values = np.asarray(values, np.float32)
     if bound.is_lossless or not len(values):
         return values
@@ -86,6 +87,17 @@ def coarse(values: np.ndarray, bound: ErrorBound) -> np.ndarray:
     out = (bits >> drop << drop).view(np.float32).copy()
     wrong = ~bound.holds(values, out)
     out[wrong] = values[wrong]
+    # Neighbouring runs of 1, 2 and 4 equal values become one if the first value also holds for the second run.
+    whole = np.ones(len(out), bool)
+    for size in (1, 2, 4):
+        n = len(out) // (2 * size) * 2 * size
+        first = np.repeat(out[:n].reshape(-1, 2 * size)[:, 0], size)
+        second = np.arange(n).reshape(-1, 2 * size)[:, size:].ravel()
+        fits = bound.holds(values[second], first).reshape(-1, size).all(axis=1) & whole[: n // size].reshape(-1, 2).all(axis=1)
+        out[second] = np.where(np.repeat(fits, size), first, out[second])
+        whole = fits
+        if not fits.any():
+            break
     return out
 
 

@@ -42,6 +42,7 @@ class DataFolder:
     def __init__(self, spark: SparkSession, url: str, temporary: bool = False) -> None:
         self.spark = ship(spark)
         self.url, self._temporary = url, temporary
+        self.nodes: list[DataFolder] = []
         self.files = Files(spark, url)
         shims.register(spark)
 
@@ -284,21 +285,28 @@ class DataFolder:
             case dialect.Insert(name, columns, text):
                 return self._insert(name, columns, text)
             case dialect.Truncate(names, cluster):
-                self._whole_cluster(cluster)
-                for name in [self.table(n).name for n in names]:
-                    self.truncate(name)
+                for folder, found in self._on_nodes(cluster, names):
+                    for name in found:
+                        folder.truncate(name)
             case dialect.Drop(names):
                 for name in [self.table(n).name for n in names]:
                     self.drop(name)
             case dialect.Vacuum(names, retain, cluster):
-                self._whole_cluster(cluster)
-                for name in [self.table(n).name for n in names] or self.tables():
-                    self.vacuum(name, retain)
+                for folder, found in self._on_nodes(cluster, names):
+                    for name in found or folder.tables():
+                        folder.vacuum(name, retain)
         return nothing
 
-    def _whole_cluster(self, cluster: bool) -> None:
-        if cluster:
-            raise Unimplemented("A data folder is not part of a cluster.")
+    def join(self, *addresses: str) -> DataFolder:
+        """Make the folders at these addresses nodes of a cluster with this one, for the CLUSTER forms of statements."""
+        self.nodes = [*self.nodes, *(open_url(self.spark, a) for a in addresses)]
+        return self
+
+    def _on_nodes(self, cluster: bool, names: Sequence[str]) -> list[tuple[DataFolder, list[str]]]:
+        """This folder, or all nodes, with the tables by their names; an error before anything is done if one lacks one."""
+        if cluster and not self.nodes:
+            raise Unimplemented("A data folder that has joined no other is not part of a cluster.")
+        return [(f, [f.table(n).name for n in names]) for f in ([self, *self.nodes] if cluster else [self])]
 
     def _insert(self, name: str, columns: Sequence[str], text: str) -> DataFrame:
         table = self.table(name)

@@ -17,6 +17,8 @@ from tidemill.runtime import attach, complete_groups, durable, group_starts, quo
 TREND = 0.01
 #: A reading this many robust deviations off the median of its nine neighbours doesn't steer the smoother.
 GATE = 8.0
+#: Slots that are worked on at once.
+PIECE = 500_000
 
 
 def running_median(values: np.ndarray, width: int = 9) -> np.ndarray:
@@ -316,38 +318,41 @@ def regular_grid(df: DataFrame, keys: Sequence[str], ts: str, value: str, slot_u
             after = np.array([np.nan if x is None else x - f for x, f in zip(following, first.tolist())], float)
             forward, backward = smooth(lengths, at, y, np.zeros(len(first)), r, q, prior, tail, after)
             slots = np.array([(x if x is not None else int(times[-1] // slot_us) + 1) - f for x, times, f in zip(following, t, first.tolist())], np.int64)
-            owner = np.repeat(np.arange(len(first)), slots)
-            grid = (np.arange(len(owner)) - np.repeat(np.cumsum(slots) - slots, slots)).astype(float)
-            # Position of the last reading at or before each slot's start, within the block's readings.
-            begins = np.cumsum(lengths) - lengths
+            begins, base = np.cumsum(lengths) - lengths, np.cumsum(slots) - slots
             span = float(slots.max()) + 2
-            place = np.searchsorted(at + np.repeat(np.arange(len(first)), lengths) * span, grid + owner * span, side="right")
-            past, ahead = place > begins[owner], place < (begins + lengths)[owner]
-            low, high = np.clip(place - 1, 0, max(len(at) - 1, 0)), np.clip(place, 0, max(len(at) - 1, 0))
+            order = at + np.repeat(np.arange(len(first)), lengths) * span
+            which = np.sort(np.concatenate([times // slot_us - f + o for times, f, o in zip(t, first, base)]))
             if not len(at):
                 forward, backward, at = np.zeros((5, 1)), np.zeros((5, 1)), np.zeros(1)
-            x0, x1, p00, p01, p11 = (np.where(past, f[low], g[owner]) for f, g in zip(forward, prior))
-            d = np.where(past, grid - at[low], grid)
-            qq = q[owner]
-            x0 = x0 + d * x1
-            p00 = p00 + d * (2 * p01 + d * p11) + qq * d + TREND * qq * d**3 / 3
-            p01 = p01 + d * p11 + TREND * qq * d * d / 2
-            p11 = p11 + TREND * qq * d
-            info = [np.where(ahead, f[high], g[owner]) for f, g in zip(backward, tail)]
-            e = np.where(ahead, at[high] - grid, np.nan_to_num(after[owner] - grid))
-            e0, e1, j00, j01, j11 = back(*info, e, qq)
-            w00, w01 = 1 + p00 * j00 + p01 * j01, p00 * j01 + p01 * j11
-            w10, w11 = p01 * j00 + p11 * j01, 1 + p01 * j01 + p11 * j11
-            det = w00 * w11 - w01 * w10
-            level = (w11 * (x0 + p00 * e0 + p01 * e1) - w01 * (x1 + p01 * e0 + p11 * e1)) / det
-            variance = (w11 * p00 - w01 * p01) / det
-            readings = np.zeros(len(owner), np.int32)
-            base = np.cumsum(slots) - slots
-            which = np.concatenate([times // slot_us - f + o for times, f, o in zip(t, first, base)])
-            np.add.at(readings, which, 1)
-            none = ~np.isfinite(level)
-            columns = [*(_flat(batch.column(n).take(pa.array(owner))) for n in names), pa.array(((grid.astype(np.int64) + first[owner]) * slot_us)), pa.array(readings), pa.array(readings == 0), pa.array(level, mask=none), pa.array(np.sqrt(np.maximum(variance, 0)), mask=none)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "slot_us", "readings", "missing", "value", "deviation"])
+            # Slots of a batch in pieces: a date far off makes very many of them.
+            for start in range(0, int(slots.sum()), PIECE):
+                number = np.arange(start, min(start + PIECE, int(slots.sum())))
+                owner = np.searchsorted(base, number, side="right") - 1
+                grid = (number - base[owner]).astype(float)
+                # Position of the last reading at or before each slot's start, within the block's readings.
+                place = np.searchsorted(order, grid + owner * span, side="right")
+                past, ahead = place > begins[owner], place < (begins + lengths)[owner]
+                low, high = np.clip(place - 1, 0, max(len(at) - 1, 0)), np.clip(place, 0, max(len(at) - 1, 0))
+                x0, x1, p00, p01, p11 = (np.where(past, f[low], g[owner]) for f, g in zip(forward, prior))
+                d = np.where(past, grid - at[low], grid)
+                qq = q[owner]
+                x0 = x0 + d * x1
+                p00 = p00 + d * (2 * p01 + d * p11) + qq * d + TREND * qq * d**3 / 3
+                p01 = p01 + d * p11 + TREND * qq * d * d / 2
+                p11 = p11 + TREND * qq * d
+                info = [np.where(ahead, f[high], g[owner]) for f, g in zip(backward, tail)]
+                e = np.where(ahead, at[high] - grid, np.nan_to_num(after[owner] - grid))
+                e0, e1, j00, j01, j11 = back(*info, e, qq)
+                w00, w01 = 1 + p00 * j00 + p01 * j01, p00 * j01 + p01 * j11
+                w10, w11 = p01 * j00 + p11 * j01, 1 + p01 * j01 + p11 * j11
+                det = w00 * w11 - w01 * w10
+                level = (w11 * (x0 + p00 * e0 + p01 * e1) - w01 * (x1 + p01 * e0 + p11 * e1)) / det
+                variance = (w11 * p00 - w01 * p01) / det
+                some = which[np.searchsorted(which, start) : np.searchsorted(which, start + PIECE)]
+                readings = np.bincount(some - start, minlength=len(number)).astype(np.int32)
+                none = ~np.isfinite(level)
+                columns = [*(_flat(batch.column(n).take(pa.array(owner))) for n in names), pa.array(((grid.astype(np.int64) + first[owner]) * slot_us)), pa.array(readings), pa.array(readings == 0), pa.array(level, mask=none), pa.array(np.sqrt(np.maximum(variance, 0)), mask=none)]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "slot_us", "readings", "missing", "value", "deviation"])
 
     ddl = ", ".join(filter(None, [key_ddl, "slot_us bigint, readings int, missing boolean, value double, deviation double"]))
     filled = joined(both).mapInArrow(fill, ddl)
