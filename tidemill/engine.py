@@ -21,6 +21,8 @@ from tidemill.storage.log import TableLog
 from tidemill.types import NormalTable, TimeSeriesTable
 
 Table = NormalTable | TimeSeriesTable
+# Schemes of Hadoop's file systems.
+HADOOP_SCHEMES = ("hdfs", "viewfs", "s3a", "abfs", "abfss", "gs")
 _keywords: dict[str, frozenset[str]] = {}
 
 
@@ -521,7 +523,8 @@ def open_azure(spark: SparkSession, account: str, key: str, container: str) -> D
 
 
 def open_url(spark: SparkSession, url: str, **options: str) -> DataFolder:
-    """A folder by its URL: a path, file://, memory://, s3:// or azureblobstorage:// (with the store's options)."""
+    """A folder by its URL: a path, file://, memory://, s3:// or azureblobstorage:// (with the store's options), or one
+    that Hadoop's file systems take as it is."""
     scheme, found, rest = url.partition("://")
     if not found or scheme.lower() == "file":
         return open_local(spark, url if found else url)
@@ -532,6 +535,8 @@ def open_url(spark: SparkSession, url: str, **options: str) -> DataFolder:
             return open_s3(spark, bucket=rest.strip("/"), **options)
         case "azureblobstorage":
             return open_azure(spark, container=rest.strip("/"), **options)
+    if scheme.lower() in HADOOP_SCHEMES:
+        return DataFolder(spark, url)
     raise InvalidArgument(f"'{url}' is not the URL of a data folder.")
 
 

@@ -344,10 +344,6 @@ _FOLDER_SQL: dict[str, tuple[str, str]] = {
         "SELECT label, COUNT(*) AS n, ROUND(SUM(CAST(value AS DOUBLE)), 2) AS total FROM points JOIN labels_of USING (event_type) GROUP BY label",
         f"SELECT label, count(*) AS n, round(sum(CAST(value AS DOUBLE)), 2) AS total FROM {_EVENTS} JOIN (VALUES ('click', 1), ('view', 2), ('purchase', 3), ('none', 4)) l(event_type, label) USING (event_type) GROUP BY label",
     ),
-    "ts_self_join": (
-        "SELECT a.event_type, COUNT(*) AS n FROM points a JOIN points b ON a.event_type = b.event_type AND a.ts = b.ts WHERE a.ts < TIMESTAMP '2024-01-10' GROUP BY a.event_type",
-        f"SELECT event_type, count(*) AS n FROM {_EVENTS} WHERE ts < TIMESTAMP '2024-01-10' GROUP BY event_type",
-    ),
     "ts_self_join_whole": (
         "SELECT a.event_type, COUNT(*) AS n FROM points a JOIN points b ON a.event_type = b.event_type AND a.ts = b.ts GROUP BY a.event_type",
         f"WITH e AS (SELECT * FROM {_EVENTS}) SELECT a.event_type, count(*) AS n FROM e a JOIN e b ON a.event_type = b.event_type AND a.ts = b.ts GROUP BY a.event_type",
