@@ -187,9 +187,12 @@ WITH u AS (SELECT DISTINCT * FROM time_series_table),
 SELECT tag_1, column_name, percentile, count(*) AS n, true AS near FROM v, (SELECT unnest([{', '.join(map(str, PERCENTILES))}])::DOUBLE AS percentile) q
 WHERE x IS NOT NULL AND NOT isnan(x) GROUP BY ALL"""
 
-# Every window of 200 characters of every text, by a hash of its characters.
+# Every window of 200 characters of every text, by a hash of its characters. Windows are cut from pieces of 1,199
+# characters, as a place in a long text takes long to find.
 _WINDOWS = """
-  w AS (SELECT doc_id, i, md5_number(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+  pieces AS (SELECT doc_id, 1000 * j AS base, substr(text, 1000 * j + 1, 1199) AS part
+    FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 200) // 1000 + 1)) AS j FROM documents WHERE length(text) >= 200)),
+  w AS (SELECT doc_id, base + i AS i, md5_number(substr(part, i, 200)) AS h FROM (SELECT doc_id, base, part, unnest(range(1, least(1000, length(part) - 199) + 1)) AS i FROM pieces)),
   s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
   m AS (SELECT w.* FROM w SEMI JOIN s USING (h))
 """
